@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from weftgraph.llm._text import M1, U, mix
+from weftgraph.llm._text import M1, U, mix, row_of
 
 #: Postings that a map task gathers before it sends blocks.
 GATHER = 3_000_000
@@ -173,3 +174,28 @@ def found_twice(postings: DataFrame, n: int, width: int) -> DataFrame:
         return pa.Table.from_batches(out, schema=_ARROW)
 
     return by_document(postings.groupBy("part").applyInArrow(lambda t: run(t), SCHEMA), n)
+
+
+def postings(batch: pa.RecordBatch, lo: int, hi: int, off: np.ndarray, keys: np.ndarray, at: np.ndarray):
+    """Of units ``at`` of rows lo..hi: keys, dkeys, tkeys, positions in the row."""
+    row = row_of(off, at)
+    d = batch.column("dkey").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+    t = batch.column("tkey").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
+    return keys, d[row], t[row], at - off[row]
+
+
+def copies(keys: DataFrame) -> DataFrame:
+    """dkey, tkey of rows whose text some other row has, too; is_rep marks that with the least id.
+
+    Counts meet by text before they are spread to rows; rows of a large group stay apart in the join,
+    which Spark can split.
+    """
+    groups = keys.groupBy("tkey", "n_bytes").agg(F.count("*").alias("n"), F.min("dkey").alias("least"), F.max("dkey").alias("most")).filter("n > 1")
+    return keys.join(groups, ["tkey", "n_bytes"]).select("dkey", "tkey", (F.col("dkey") == F.col("least")).alias("is_rep")).distinct()
+
+
+def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (dkey, tkey, text) with positions from ``found``; copied: some other row has the text;
+    open: it has positions, and speaks for its copies if there are any."""
+    known = found.join(copies(rows.select("dkey", "tkey", F.octet_length("text").alias("n_bytes"))), ["dkey", "tkey"], "full_outer")
+    return rows.join(known.hint("shuffle_hash"), ["dkey", "tkey"], "left").select("dkey", "tkey", "text", "positions", F.col("is_rep").isNotNull().alias("copied"), (F.coalesce("is_rep", F.lit(True)) & F.col("positions").isNotNull()).alias("open"))

@@ -108,7 +108,7 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
             return mix(out[:n])
         m = len(power) - size
         power = power[:m] * scale + power[size : size + m]
-        size, scale = 2 * size, scale * scale
+        size, scale = 2 * size, U(int(scale) ** 2 % (1 << 64))
 
 
 def full(off: np.ndarray, k: int) -> np.ndarray:
@@ -116,14 +116,34 @@ def full(off: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(np.arange(int(off[-1])) + k <= np.repeat(off[1:], np.diff(off)))
 
 
-def rows_of(off: np.ndarray) -> np.ndarray:
-    """The row of each unit."""
-    return np.repeat(np.arange(len(off) - 1), np.diff(off))
-
-
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     """Which of n units are inside a run of k units from one of ``starts``."""
     d = np.zeros(n + 1, np.int64)
     np.add.at(d, starts, 1)
     np.add.at(d, np.minimum(starts + k, n), -1)
     return np.cumsum(d[:-1]) > 0
+
+
+def least(h: np.ndarray, w: int) -> np.ndarray:
+    """For each i, the place of the first least of h[i : i + w], w a power of two."""
+    best, size = np.arange(len(h), dtype=np.int64), 1
+    value = h
+    while size < w:
+        later = value[size:] < value[:-size]
+        best = np.where(later, best[size:], best[:-size])
+        value = np.where(later, value[size:], value[:-size])
+        size *= 2
+    return best
+
+
+def flags(column: pa.Array, lo: int, hi: int, off: np.ndarray) -> np.ndarray:
+    """Which units of rows lo..hi have their place in the row listed in the row's int64 block."""
+    out = np.zeros(int(off[-1]) + 1, bool)
+    for i, x in enumerate(column.slice(lo, hi - lo).to_pylist()):
+        if x:
+            out[off[i] + np.frombuffer(x, "<i8")] = True
+    return out[:-1]
+
+
+def row_of(off: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.searchsorted(off, at, "right") - 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph.llm.substring_dedup import substring_dedup
+from weftgraph.llm.suffix_dedup import suffix_dedup
 
 
 def table(spark, sf_dir: str, name: str):
@@ -13,5 +14,9 @@ def op4_substring_dedup(spark, sf_dir: str):
     return substring_dedup(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
-QUERIES = {"op4_substring_dedup": op4_substring_dedup}
+def op9_suffix_array_dedup(spark, sf_dir: str):
+    return suffix_dedup(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
+QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup, "op4_substring_dedup": op4_substring_dedup}
 ORACLES: dict[str, str] = {}

@@ -32,59 +32,32 @@ def _cells(batch: pa.RecordBatch):
         yield lo, hi, data, s, e, w, T.word_hashes(data, s, e)
 
 
-def _postings(batch, lo, hi, w, keys, at):
-    """Of units ``at`` of the rows: keys, dkeys, tkeys, positions in the row."""
-    row = np.searchsorted(w, at, "right") - 1
-    d = batch.column("dkey").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-    t = batch.column("tkey").slice(lo, hi - lo).to_numpy(zero_copy_only=False)
-    return keys, d[row], t[row], at - w[row]
-
-
 def _anchors(window: int):
     size = window - PERIOD + 1
 
     def of(batch):
         for lo, hi, _, _, _, w, h in _cells(batch):
             at = T.full(w, size)
-            at = at[_IN_COVER[(at - w[np.searchsorted(w, at, "right") - 1]) % PERIOD]]
-            yield _postings(batch, lo, hi, w, T.run_hashes(h, size)[at], at)
+            at = at[_IN_COVER[(at - w[T.row_of(w, at)]) % PERIOD]]
+            yield K.postings(batch, lo, hi, w, T.run_hashes(h, size)[at], at)
 
     return of
 
 
-def _flags(column, lo, hi, w) -> np.ndarray:
-    """Which units of the rows have their position in the row's int64 block."""
-    out = np.zeros(int(w[-1]) + 1, bool)
-    for i, x in enumerate(column.slice(lo, hi - lo).to_pylist()):
-        if x:
-            out[w[i] + np.frombuffer(x, "<i8")] = True
-    return out[:-1]
-
-
 def _windows(window: int):
     """Whole windows that hold a shared anchor."""
     size = window - PERIOD + 1
 
     def of(batch):
         for lo, hi, _, _, _, w, h in _cells(batch):
-            shared = np.r_[0, np.cumsum(_flags(batch.column("positions"), lo, hi, w))]
+            shared = np.r_[0, np.cumsum(T.flags(batch.column("positions"), lo, hi, w))]
             at = T.full(w, window)
             at = at[shared[at + window - size + 1] > shared[at]]
-            yield _postings(batch, lo, hi, w, T.run_hashes(h, window)[at], at)
+            yield K.postings(batch, lo, hi, w, T.run_hashes(h, window)[at], at)
 
     return of
 
 
-def copies(keys: DataFrame) -> DataFrame:
-    """dkey, tkey of rows whose text some other row has, too; is_rep marks that with the least id.
-
-    Counts meet by text before they are spread to rows; rows of a large group stay apart in the join,
-    which Spark can split.
-    """
-    groups = keys.groupBy("tkey", "n_bytes").agg(F.count("*").alias("n"), F.min("dkey").alias("least"), F.max("dkey").alias("most")).filter("n > 1")
-    return keys.join(groups, ["tkey", "n_bytes"]).select("dkey", "tkey", (F.col("dkey") == F.col("least")).alias("is_rep")).distinct()
-
-
 def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text of each row of ``docs`` (doc_id, text).
 
@@ -99,14 +72,12 @@ def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     amount = text_bytes(docs)
     n = ranges(amount * len(COVER) / PERIOD / 6, 1e6)
     shared = K.found_twice(K.sent(rows, _anchors(window), n, 6), n, 6)
-    known = shared.join(copies(rows.select("dkey", "tkey", F.octet_length("text").alias("n_bytes"))), ["dkey", "tkey"], "full_outer")
-    every = rows.join(known.hint("shuffle_hash"), ["dkey", "tkey"], "left").withColumn("part_of", F.when(F.col("is_rep") == F.lit(False), 2).when(F.col("positions").isNotNull(), 1).otherwise(F.when(F.col("is_rep"), 2).otherwise(0)))
-    every = written(every.select("dkey", "tkey", "text", "positions", F.col("is_rep").isNotNull().alias("copied"), "part_of"))
-    some = every.filter("part_of = 1")
+    every = written(K.with_found(rows, shared))
+    some = every.filter("open")
     m = ranges(amount / 6 / 4, 1e6)
     starts = K.found_twice(K.sent(some, _windows(window), m, 8), m, 8)
     some = some.drop("positions").join(starts, ["dkey", "tkey"], "left")
-    rest = every.filter("part_of <> 1").withColumn("positions", F.lit(None).cast("binary")).select(*some.columns)
+    rest = every.filter("not open").withColumn("positions", F.lit(None).cast("binary")).select(*some.columns)
     return some.unionByName(rest).mapInArrow(lambda b: _results(b, window), "dkey long, n_words long, n_removed long, kept_sha256 string, kept_text string").select(real_id(), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
@@ -115,7 +86,7 @@ def _results(batches, window: int):
         out: dict[str, list] = {x: [] for x in ("n_words", "n_removed", "kept_sha256", "kept_text")}
         copied = batch.column("copied").to_numpy(zero_copy_only=False)
         for lo, hi, data, s, e, w, _ in _cells_plain(batch):
-            gone = T.covered(np.flatnonzero(_flags(batch.column("positions"), lo, hi, w)), window, int(w[-1]))
+            gone = T.covered(np.flatnonzero(T.flags(batch.column("positions"), lo, hi, w)), window, int(w[-1]))
             n = np.diff(w)
             gone |= np.repeat(copied[lo:hi] & (n >= window), n)
             keep = np.zeros(len(data) + 1, np.int8)
@@ -124,7 +95,7 @@ def _results(batches, window: int):
             inside = np.cumsum(keep[:-1], dtype=np.int8) > 0
             # one space before each kept word but the first of a row
             kept = np.flatnonzero(~gone)
-            row = np.searchsorted(w, kept, "right") - 1
+            row = T.row_of(w, kept)
             sizes = (e - s)[kept] + np.r_[False, row[1:] == row[:-1]][: len(kept)]
             text = np.full(int(sizes.sum()), 32, np.uint8)
             at = np.cumsum(sizes) - (e - s)[kept]
