@@ -61,13 +61,14 @@ def ranges(amount: float, each: float, least: int = 24) -> int:
     return max(least, int(amount / each) + 1)
 
 
+def key_columns() -> list:
+    """dkey (id, never null), tkey (hash of the text) and text (never null)."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"), F.xxhash64(text).alias("tkey"), text.alias("text")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """dkey (id, never null), tkey (hash of the text) and text of each row."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
+    return docs.select(*key_columns())
 
 
 def real_id(col: str = "dkey"):

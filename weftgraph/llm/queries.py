@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from weftgraph.llm import line_dedup as line
+from weftgraph.llm.quality_rules import quality_rules
+from weftgraph.llm.secret_scan import secret_scan
 from weftgraph.llm.substring_dedup import substring_dedup
 from weftgraph.llm.suffix_dedup import suffix_dedup
 
@@ -10,13 +13,25 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark, sf_dir: str):
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark, sf_dir: str):
     return substring_dedup(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def op7_line_dedup(spark, sf_dir: str):
+    return line.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
+
+
 def op9_suffix_array_dedup(spark, sf_dir: str):
     return suffix_dedup(table(spark, sf_dir, "documents"), length=400).drop("kept")
 
 
-QUERIES = {"op9_suffix_array_dedup": op9_suffix_array_dedup, "op4_substring_dedup": op4_substring_dedup}
-ORACLES: dict[str, str] = {}
+def op10_quality_rules(spark, sf_dir: str):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op7_line_dedup, op9_suffix_array_dedup, op10_quality_rules)}
+ORACLES = {"op7_line_dedup": line.ORACLE}
