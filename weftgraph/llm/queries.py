@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftgraph.llm import line_dedup as line
+from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.quality_rules import quality_rules
 from weftgraph.llm.secret_scan import secret_scan
 from weftgraph.llm.substring_dedup import substring_dedup
@@ -21,6 +22,10 @@ def op4_substring_dedup(spark, sf_dir: str):
     return substring_dedup(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def op6_benchmark_decontamination(spark, sf_dir: str):
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("items", "hits")
+
+
 def op7_line_dedup(spark, sf_dir: str):
     return line.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
@@ -33,5 +38,5 @@ def op10_quality_rules(spark, sf_dir: str):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op7_line_dedup, op9_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op6_benchmark_decontamination, op7_line_dedup, op9_suffix_array_dedup, op10_quality_rules)}
 ORACLES = {"op7_line_dedup": line.ORACLE}
