@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from weftgraph.llm import line_dedup as line
+from weftgraph.llm.bpe import bpe
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.quality_rules import quality_rules
 from weftgraph.llm.secret_scan import secret_scan
@@ -30,6 +33,10 @@ def op7_line_dedup(spark, sf_dir: str):
     return line.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
 
+def op8_bpe(spark, sf_dir: str):
+    return bpe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=False)
+
+
 def op9_suffix_array_dedup(spark, sf_dir: str):
     return suffix_dedup(table(spark, sf_dir, "documents"), length=400).drop("kept")
 
@@ -38,5 +45,5 @@ def op10_quality_rules(spark, sf_dir: str):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op6_benchmark_decontamination, op7_line_dedup, op9_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)}
 ORACLES = {"op7_line_dedup": line.ORACLE}
