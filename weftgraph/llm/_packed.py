@@ -39,11 +39,12 @@ def range_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U(32)) * U(n)) >> U(32)
 
 
-def blocks(keys: np.ndarray, dkeys: np.ndarray, tkeys: np.ndarray, pos: np.ndarray, n: int, width: int, above: int = 0) -> Iterator[pa.RecordBatch]:
-    """Postings sorted by document and position, as one row a range of the keys; ranges count from ``above``."""
+def blocks(keys: np.ndarray, dkeys: np.ndarray, tkeys: np.ndarray, pos: np.ndarray, n: int, width: int, above: int = 0, part: np.uint64 | None = None) -> Iterator[pa.RecordBatch]:
+    """Postings sorted by document and position, as one row a range of the keys, or as range ``part``;
+    ranges count from ``above``."""
     if not len(keys):
         return
-    part = range_of(keys, n)
+    part = range_of(keys, n) if part is None else np.full(len(keys), part)
     order = np.argsort(part, kind="stable")
     part = part[order]
     bound = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])

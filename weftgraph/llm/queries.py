@@ -7,6 +7,7 @@ import public_tokenizers
 from weftgraph.llm import line_dedup as line
 from weftgraph.llm.bpe import bpe
 from weftgraph.llm.decontaminate import decontaminate
+from weftgraph.llm.jaccard_join import jaccard_join
 from weftgraph.llm.quality_rules import quality_rules
 from weftgraph.llm.secret_scan import secret_scan
 from weftgraph.llm.substring_dedup import substring_dedup
@@ -25,6 +26,10 @@ def op4_substring_dedup(spark, sf_dir: str):
     return substring_dedup(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def op5_ngram_jaccard_join(spark, sf_dir: str):
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("tkey")
+
+
 def op6_benchmark_decontamination(spark, sf_dir: str):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("items", "hits")
 
@@ -45,5 +50,5 @@ def op10_quality_rules(spark, sf_dir: str):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)}
 ORACLES = {"op7_line_dedup": line.ORACLE}
