@@ -100,10 +100,11 @@ def references(docs: DataFrame, min_words: int) -> DataFrame:
     """lang and the summed histograms of its texts of ``min_words`` words or more; those of all rows
     under a null lang.  At most MAX_LANGUAGES + 1 rows."""
     text = F.coalesce("text", F.lit(""))
+    # a filter on x.n would be moved below and compute x twice, so the sums skip rows instead
     rows = docs.select(F.col("lang").cast("string").alias("lang"), _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.array(*_histograms(text, w)).alias("h"))).alias("x"))
-    rows = rows.filter(F.col("x.n") >= min_words)
-    cells = [F.sum(F.get(F.get("x.h", F.lit(k)), F.lit(i))).alias(f"c{k}_{i}") for k, n in ((0, 7), (1, len(COMMON) + 1)) for i in range(n)]
-    by_lang = written(rows.groupBy("lang").agg(F.count("*").alias("rows"), *cells))
+    long = F.col("x.n") >= min_words
+    cells = [F.sum(F.when(long, F.get(F.get("x.h", F.lit(k)), F.lit(i)))).alias(f"c{k}_{i}") for k, n in ((0, 7), (1, len(COMMON) + 1)) for i in range(n)]
+    by_lang = written(rows.groupBy("lang").agg(F.count_if(long).alias("rows"), *cells))
     names = [c for c in by_lang.columns if c not in ("lang", "rows")]
     # few rows, one a language; only the most frequent go on
     own = by_lang.filter(F.col("lang").isNotNull() & (F.col("rows") >= MIN_ROWS)).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).select("lang", *names)
@@ -145,5 +146,7 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
     rows = rows.select("row", "x", failed.alias("base_failed"), distance(0, "classes").alias("class_distance"), distance(1, "words").alias("word_distance"))
     kept = ~F.col("base_failed") & ((F.col("x.n_words") < guard_words) | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)))
     if keep_columns:
-        return rows.filter(kept).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+        # what depends on a partition's number is not moved below, so nothing is computed twice
+        rows = rows.select("row", kept.alias("kept"), F.spark_partition_id().alias("at")).filter(F.col("kept") & (F.col("at") >= 0))
+        return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
     return rows.select(F.col("row.doc_id").alias("doc_id"), *(F.col(f"x.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", kept.alias("kept"), "class_distance", "word_distance")
