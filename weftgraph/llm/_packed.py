@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm._text import M1, U, mix, row_of
 
 #: Postings that a map task gathers before it sends blocks.
-GATHER = 3_000_000
+GATHER = 1_500_000
 SCHEMA = "part int, keys binary, dkeys binary, tkeys binary, counts binary, pos binary"
 _ARROW = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("keys", "dkeys", "tkeys", "counts", "pos"))])
 

@@ -67,7 +67,20 @@ def key_columns() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("dkey"), F.xxhash64(text).alias("tkey"), text.alias("text")]
 
 
+#: Rows and bytes of an Arrow batch: texts are long, and a task holds a few batches at a time.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
 def keyed(docs: DataFrame) -> DataFrame:
+    """``key_columns`` of each row, for Python tasks; lowers the session's batch size to ``BATCH``."""
+    conf = docs.sparkSession.conf
+    for k, most in BATCH.items():
+        try:
+            small = 0 < int(conf.get(k)) <= most
+        except ValueError:  # a size with a unit
+            small = False
+        if not small:
+            conf.set(k, str(most))
     return docs.select(*key_columns())
 
 

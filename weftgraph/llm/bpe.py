@@ -189,7 +189,7 @@ def bpe(docs: DataFrame, path: str, keep: bool = True) -> DataFrame:
         for batch in batches:
             names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep else [])]
             out: dict[str, list] = {x: [] for x in names}
-            for lo, hi, data, offsets in T.texts(batch.column("text"), 8 << 20):
+            for lo, hi, data, offsets in T.texts(batch.column("text"), 4 << 20):
                 if len(index) > KEPT:
                     index, ids, off = _Index(), np.empty(0, np.int64), np.zeros(1, np.int64)
                 known, rows = len(index), []

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _text as T
-from weftgraph.llm._work import keyed, real_id, written
+from weftgraph.llm._work import key_columns, keyed, real_id, written
 
 #: Bytes of test text that one pass over the documents takes; more test text goes in further passes.
 BLOCK = 8 << 20
@@ -84,7 +84,7 @@ def term_counts(docs: DataFrame, tests: Tests) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["term", "n"])
 
     out = np.zeros(len(tests.terms), np.int64)
-    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in keyed(docs).select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.term] = r.n
     return out
 
@@ -240,6 +240,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block:
     words; an item without words, or without id, is never found; items that repeat count once.  Without
     items nothing is hit.  Rows that repeat get the same result each.
     """
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    out = _found(docs, benchmark, size, block)
+    return out.select(real_id(), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "items", "hits")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` in which no window of ``benchmark`` occurs."""
+    bad = written(_found(docs, benchmark, size, BLOCK).filter(F.size("hits") > 0).select("dkey", "tkey").distinct())
+    d, t = key_columns()[:2]
+    rows = docs.select(F.struct("*").alias("row"), d, t)
+    return rows.join(bad, ["dkey", "tkey"], "left_anti").select("row.*")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> DataFrame:
     passes = []
     for items in blocks_of(benchmark, block):
         tests = windows_of(items, size)
@@ -253,5 +267,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, block:
         found = found.groupBy("dkey", "tkey").agg(_union(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         out = out.select("dkey", "tkey", "n_words").join(found, ["dkey", "tkey"], "left")
         out = out.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<start:bigint,end:bigint>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select(real_id(), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"), "items", "hits")
+    return out

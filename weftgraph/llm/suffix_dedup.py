@@ -33,7 +33,7 @@ def _sizes(length: int) -> int:
 def _cells(batch: pa.RecordBatch, length: int):
     """Runs of rows with, of each string of ``length`` bytes in a row: its place, first and last pick."""
     k = _sizes(length)
-    for lo, hi, data, off in T.texts(batch.column("text"), 2 << 20):
+    for lo, hi, data, off in T.texts(batch.column("text"), 1 << 20):
         at = T.full(off, length)
         names = _NAMES[data]
         h = T.run_hashes(names, k)
