@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
 from weftgraph.llm import line_dedup as line
 from weftgraph.llm.bpe import bpe
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.jaccard_join import jaccard_join
+from weftgraph.llm.quality_model import quality_model
 from weftgraph.llm.quality_rules import quality_rules
 from weftgraph.llm.secret_scan import secret_scan
 from weftgraph.llm.substring_dedup import substring_dedup
 from weftgraph.llm.suffix_dedup import suffix_dedup
+from weftgraph.llm.toxicity import toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -22,6 +25,14 @@ def op1_secret_scan(spark, sf_dir: str):
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir: str):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_classifier(spark, sf_dir: str):
+    return quality_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark, sf_dir: str):
     return substring_dedup(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
@@ -50,5 +61,5 @@ def op10_quality_rules(spark, sf_dir: str):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_classifier, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op7_line_dedup": line.ORACLE}
