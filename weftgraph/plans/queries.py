@@ -213,8 +213,8 @@ def weakest_edge(spark, d):
     return A.weakest_edges(star.graph(spark, d).edges)
 
 
-LAYERS = [("europe", ["EUROPE", "FRANCE", "GERMANY", "R*"]), ("america", ["AMERICA", "CANADA", "BRAZIL", "ARGENTINA"]), ("parts", ["Brand#1?", "src/main/Brand#2*"]), ("rest", ["CHINA", "IND??"])]
-RULES = [{"name": "no-parts", "from": "europe", "deny": ["parts"]}, {"from": "america", "allow": ["parts"]}, {"name": "rest", "from": "rest", "deny": ["europe", "america"]}]
+LAYERS = [("low", ["NATION_?", "EUROPE"]), ("high", ["NATION_1?", "AMERICA"]), ("parts", ["Brand#1?", "src/main/Brand#2*"]), ("rest", ["NATION_*", "AS??"])]
+RULES = [{"name": "no-parts", "from": "low", "deny": ["parts"]}, {"from": "high", "allow": ["parts"]}, {"name": "rest", "from": "rest", "deny": ["low", "high"]}]
 
 
 def _layer_sql() -> str:
@@ -233,9 +233,9 @@ def layer_assign(spark, d):
 
 
 @query(
-    f"""SELECT CASE a.layer WHEN 'europe' THEN 'no-parts' ELSE a.layer END AS rule, e.source, e.target, e.kind, e.origin, a.layer AS source_layer, b.layer AS target_layer
+    f"""SELECT CASE a.layer WHEN 'low' THEN 'no-parts' ELSE a.layer END AS rule, e.source, e.target, e.kind, e.origin, a.layer AS source_layer, b.layer AS target_layer
 FROM edges e JOIN layers a ON a.id = e.source JOIN layers b ON b.id = e.target
-WHERE e.{DEPENDENCY.replace(' AND ', ' AND e.')} AND a.layer <> b.layer AND ((a.layer = 'europe' AND b.layer = 'parts') OR (a.layer = 'america' AND b.layer <> 'parts') OR (a.layer = 'rest' AND b.layer IN ('europe', 'america')))""",
+WHERE e.{DEPENDENCY.replace(' AND ', ' AND e.')} AND a.layer <> b.layer AND ((a.layer = 'low' AND b.layer = 'parts') OR (a.layer = 'high' AND b.layer <> 'parts') OR (a.layer = 'rest' AND b.layer IN ('low', 'high')))""",
     VIOLATIONS,
 )
 def layer_violations(spark, d):
@@ -407,7 +407,7 @@ def ret_unmatched_rules(spark, d):
 @query("SELECT id, name, module || '.' || replace(substr(id, 7), '/', '.') AS full_name FROM nodes WHERE id = 'class:nation/7'")
 def symbol_match(spark, d):
     g = star.graph(spark, d)
-    return Q.symbol_match(g, "EUROPE.nation.7").select("id", "name", F.concat_ws(".", "module", "qualified_name").alias("full_name"))
+    return Q.symbol_match(g, "nation.7").select("id", "name", F.concat_ws(".", "module", "qualified_name").alias("full_name"))
 
 
 @query(
@@ -446,9 +446,9 @@ def discover_symbols(spark, d):
     return Q.discover(star.graph(spark, d), "order7").select("id")
 
 
-@query("SELECT id, path FROM nodes WHERE path LIKE '%/FRANCE/customer.kt'")
+@query("SELECT id, path FROM nodes WHERE path LIKE '%/NATION_3/customer.kt'")
 def in_file(spark, d):
-    return Q.in_file(star.graph(spark, d), "FRANCE/customer.kt")
+    return Q.in_file(star.graph(spark, d), "NATION_3/customer.kt")
 
 
 @query()
@@ -520,16 +520,16 @@ def impact_sort(spark, d):
     return I.sorted_page(I.filtered(_impact(spark, d), relation="TRANSITIVE"), "REVIEW", limit=100, offset=5)
 
 
-@query("SELECT 'CUSTOMER' AS requested, 'notFound' AS status UNION ALL SELECT 'FRANCE', 'found' UNION ALL SELECT 'class:part/7', 'found' UNION ALL SELECT 'nation.3', 'found'", plain=True)
+@query("SELECT 'CUSTOMER' AS requested, 'notFound' AS status UNION ALL SELECT 'NATION_5', 'found' UNION ALL SELECT 'class:part/7', 'found' UNION ALL SELECT 'nation.3', 'found'", plain=True)
 def impact_seeds(spark, d):
     g = star.graph(spark, d)
-    return I.seeds({"CURRENT": g, "BASE": g}, ["FRANCE", "CUSTOMER", "class:part/7", "nation.3"], [])[1]
+    return I.seeds({"CURRENT": g, "BASE": g}, ["NATION_5", "CUSTOMER", "class:part/7", "nation.3"], [])[1]
 
 
-@query("SELECT id FROM nodes WHERE path = 'src/main/java/FRANCE/order.kt' OR path = 'src/main/region.kt'")
+@query("SELECT id FROM nodes WHERE path = 'src/main/java/NATION_5/order.kt' OR path = 'src/main/region.kt'")
 def impact_seed_files(spark, d):
     g = star.graph(spark, d)
-    return I.seeds({"CURRENT": g}, [], ["src/main/java/FRANCE/order.kt", "region.kt", "none/nation.kt"])[0]
+    return I.seeds({"CURRENT": g}, [], ["src/main/java/NATION_5/order.kt", "region.kt", "none/nation.kt"])[0]
 
 
 # traversal
