@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm._work import written
 
+OTHERS = "[^A-Z0-9#*$%&|<>.,;:!?'\"()-]+"
 SYMBOLS, UPPER, DIGITS, MARKS = "[#*$%&|<>]+", "[A-Z]+", "[0-9]+", "[.,;:!?'\"()-]+"
 #: Function words of English, German, French and Spanish.
 COMMON = (
@@ -37,9 +38,14 @@ def _number(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, chars, ""))
 
 
-def _histograms(text: Column, words: Column) -> list[Column]:
-    """Counts of character classes, and of common words and the rest."""
-    upper, digits, marks, symbols = (_number(text, x) for x in (UPPER, DIGITS, MARKS, SYMBOLS))
+def _rare(text: Column) -> Column:
+    """The characters of the counted classes, which are few: one pass over the text serves all counts."""
+    return F.regexp_replace(text, OTHERS, "")
+
+
+def _histograms(text: Column, rare: Column, words: Column) -> list[Column]:
+    """Counts of character classes, and of common words and the rest; ``rare`` is ``_rare(text)``."""
+    upper, digits, marks, symbols = (_number(rare, x) for x in (UPPER, DIGITS, MARKS, SYMBOLS))
     white = F.length(text) - _word_chars(words)
     wide = F.octet_length(text) - F.length(text)
     classes = F.array(*(x.cast("double") for x in (F.length(text) - upper - digits - marks - symbols - white, upper, digits, marks, symbols, white, wide)))
@@ -93,7 +99,7 @@ def _word_chars(words: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
 
 
 def references(docs: DataFrame, min_words: int) -> DataFrame:
@@ -101,7 +107,7 @@ def references(docs: DataFrame, min_words: int) -> DataFrame:
     under a null lang.  At most MAX_LANGUAGES + 1 rows."""
     text = F.coalesce("text", F.lit(""))
     # a filter on x.n would be moved below and compute x twice, so the sums skip rows instead
-    rows = docs.select(F.col("lang").cast("string").alias("lang"), _let(_words(text), lambda w: F.struct(F.size(w).alias("n"), F.array(*_histograms(text, w)).alias("h"))).alias("x"))
+    rows = docs.select(F.col("lang").cast("string").alias("lang"), _let(F.struct(_words(text).alias("w"), _rare(text).alias("r")), lambda t: F.struct(F.size(t["w"]).alias("n"), F.array(*_histograms(text, t["r"], t["w"])).alias("h"))).alias("x"))
     long = F.col("x.n") >= min_words
     cells = [F.sum(F.when(long, F.get(F.get("x.h", F.lit(k)), F.lit(i)))).alias(f"c{k}_{i}") for k, n in ((0, 7), (1, len(COMMON) + 1)) for i in range(n)]
     by_lang = written(rows.groupBy("lang").agg(F.count_if(long).alias("rows"), *cells))
@@ -129,14 +135,14 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
     text = F.coalesce("row.text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     x = _let(
-        _words(text),
-        lambda w: F.struct(
-            F.size(w).cast("long").alias("n_words"),
-            _word_chars(w).cast("long").alias("word_chars"),
-            _number(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.struct(_words(text).alias("w"), _rare(text).alias("r")),
+        lambda t: F.struct(
+            F.size(t["w"]).cast("long").alias("n_words"),
+            _word_chars(t["w"]).cast("long").alias("word_chars"),
+            _number(t["r"], SYMBOLS).cast("long").alias("n_symbols"),
             _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            _repeated_words(w).cast("long").alias("n_repeat_words"),
-            F.array(*_histograms(text, w)).alias("h"),
+            _repeated_words(t["w"]).cast("long").alias("n_repeat_words"),
+            F.array(*_histograms(text, t["r"], t["w"])).alias("h"),
         ),
     )
     rows = docs.select(F.struct(*(docs.columns if keep_columns else [c for c in docs.columns if c in ("doc_id", "text", "lang")])).alias("row"))
