@@ -148,7 +148,7 @@ def budgeted(items: DataFrame, budget: int = 100_000) -> DataFrame:
             left -= n if shown[-1] else 0
         return pd.DataFrame({"id": pdf.id, "shown": shown})
 
-    return items.select("id", "steps").groupBy(F.lit(1)).applyInPandas(fold, "id string, shown boolean")
+    return items.select("id", "steps", F.lit(0).alias("all")).groupBy("all").applyInPandas(fold, "id string, shown boolean")
 
 
 def include_closure(includes: DataFrame, changed: DataFrame, limit: int = 10_000) -> DataFrame:
