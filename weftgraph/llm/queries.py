@@ -6,6 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from weftgraph.llm import line_dedup as line
+from weftgraph.llm import oracles
 from weftgraph.llm.bpe import bpe
 from weftgraph.llm.decontaminate import decontaminate
 from weftgraph.llm.jaccard_join import jaccard_join
@@ -62,4 +63,10 @@ def op10_quality_rules(spark, sf_dir: str):
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_classifier, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op7_line_dedup": line.ORACLE}
+ORACLES = {
+    "op4_substring_dedup": oracles.SUBSTRING,
+    "op5_ngram_jaccard_join": oracles.JACCARD,
+    "op6_benchmark_decontamination": oracles.BENCHMARK,
+    "op7_line_dedup": line.ORACLE,
+    "op9_suffix_array_dedup": oracles.SUFFIX,
+}
