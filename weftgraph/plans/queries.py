@@ -21,7 +21,6 @@ from weftgraph.sources import sinks
 USAGE = "kind <> 'MEMBER'"
 DEPENDENCY = "kind <> 'MEMBER' AND kind <> 'OVERRIDE' AND origin <> 'DISPATCH_MODEL'"
 OWNER_REFERENCE = "(kind = 'REFERENCE' AND source LIKE 'method:%' AND target = 'class:' || split_part(substr(source, 8), '#', 1))"
-NO_LINES = F.array().cast("array<int>")
 
 
 def query(sql: str | None = None, more: dict[str, str] | None = None, plain: bool = False):
@@ -54,7 +53,7 @@ def graph_canonicalize(spark, d):
 
 @query("SELECT source, target, kind, origin, weight FROM edges")
 def edges_merged(spark, d):
-    e = star.frame(spark, d, "raw_edges").withColumn("lines", F.when(F.col("line").isNotNull(), F.array("line")).otherwise(NO_LINES))
+    e = star.frame(spark, d, "raw_edges").withColumn("lines", F.when(F.col("line").isNotNull(), F.array("line")).otherwise(F.array().cast("array<int>")))
     return G.merged(G.dangling_dropped(e, star.nodes(spark, d))).drop("lines")
 
 
@@ -68,7 +67,7 @@ def edge_errors(spark, d):
   UNION ALL SELECT target, source, 'REFERENCE', 'RUNTIME_MODEL', 2 FROM edges WHERE kind = 'INHERITANCE') GROUP BY ALL""")
 def graph_enrich(spark, d):
     g = star.graph(spark, d)
-    delta = g.edges.filter("kind = 'INHERITANCE'").select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("REFERENCE").alias("kind"), F.lit("RUNTIME_MODEL").alias("origin"), F.lit(2).cast("long").alias("weight"), NO_LINES.alias("lines"))
+    delta = g.edges.filter("kind = 'INHERITANCE'").select(F.col("target").alias("source"), F.col("source").alias("target"), F.lit("REFERENCE").alias("kind"), F.lit("RUNTIME_MODEL").alias("origin"), F.lit(2).cast("long").alias("weight"), F.array().cast("array<int>").alias("lines"))
     return g.enriched(delta, replacing="RUNTIME_MODEL").edges.drop("lines")
 
 
