@@ -82,11 +82,7 @@ def test_ranked_search_is_the_queue(spark, seed, limit):
     out = {}
     for a, b in edges:
         out.setdefault(a, []).append(b)
-    seen, pred, queue = [], {}, deque([(ids[3], None), (ids[0], None)])
-    for s, _ in list(queue):
-        pred[s] = None
-    queue = deque([ids[3], ids[0]])
-    order = []
+    pred, queue, order = {ids[3]: None, ids[0]: None}, deque([ids[3], ids[0]]), []
     while queue and (limit is None or len(order) < limit):
         x = queue.popleft()
         order.append(x)
@@ -94,7 +90,6 @@ def test_ranked_search_is_the_queue(spark, seed, limit):
             if y not in pred:
                 pred[y] = x
                 queue.append(y)
-    del seen
     df = spark.createDataFrame(edges, "source string, target string")
     found = ranked_bfs(df, spark.createDataFrame([(ids[3], 0), (ids[0], 1)], "id string, ord int"), visit_limit=limit)
     assert [r.id for r in found.orderBy("rank").collect()] == order
