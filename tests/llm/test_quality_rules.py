@@ -49,3 +49,20 @@ def test_verdict_and_columns(spark, docs):
     assert {x.doc_id for x in stage.collect()} == {i for i, k in kept.items() if k}
     twice = quality_rules(df.union(df)).collect()
     assert len(twice) == 2 * len(rows)
+
+
+def test_common_words_alone_reject(spark, docs):
+    """The texts have the characters of their language, but not its common words."""
+    import random
+
+    r = random.Random(4)
+    nouns = "stone river hill walk tree cloud road field bread horse".split()
+    text = lambda common, share: " ".join(r.choice(common if r.random() < share else nouns) for _ in range(120))
+    english, german = "the of and to in is was for".split(), "der die und das den von ist mit".split()
+    rows = [(i, text(english, 0.4), "en", "s", 0) for i in range(80)] + [(i, text([x + "q" for x in english], 0.4), "xx", "s", 0) for i in range(80, 140)]
+    rows += [(200, text(nouns, 0.0), "en", "s", 0), (201, text(german, 0.4), "en", "s", 0), (202, text(nouns, 0.0) + " the of and to in", "en", "s", 0), (203, text(english, 0.4), "xx", "s", 0)]
+    found = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert all(found[i].kept for i in range(140))  # "xx" has none of the common words, which says nothing
+    for i in range(200, 204):
+        assert not found[i].base_failed and found[i].class_distance <= 0.25 and not found[i].kept
+        assert i > 201 or found[i].word_distance > 0.7

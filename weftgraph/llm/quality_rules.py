@@ -2,8 +2,9 @@
 DataFrame functions only.
 
 Two histograms of each text, of character classes and of common words, are compared by Jensen-Shannon
-distance to references: the sums over all texts of the language.  Texts below a minimum length have too
-few counts for that and are left to the base rules.
+distance to references: the sums over all texts of the language.  Most words are not common ones, so the
+distance of words is taken among the common ones, and their share of all words is judged by itself.
+Texts below a minimum length have too few counts for that and are left to the base rules.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ COMMON = (
 ).split()
 #: Languages with a reference of their own; rows of rarer ones are compared to the sum over all rows.
 MAX_LANGUAGES, MIN_ROWS = 256, 50
+#: The common words are judged where a text has so many, or would have by its reference.
+LEAST_COMMON = 5
 
 
 def _let(value: Column, body) -> Column:
@@ -118,14 +121,17 @@ def references(docs: DataFrame, min_words: int) -> DataFrame:
     return both.select("lang", F.array(*(c for c in names if c[1] == "0")).alias("classes"), F.array(*(c for c in names if c[1] == "1")).alias("words"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, guard_words: int = 50, max_class_distance: float = 0.25, max_word_distance: float = 0.5, keep_columns: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, guard_words: int = 50, max_class_distance: float = 0.25, max_word_distance: float = 0.7, min_common_share: float = 0.2, keep_columns: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the two
     distances of each row of ``docs`` (doc_id, text, lang); with ``keep_columns`` the columns of ``docs``
     for the rows that are kept.
 
     base_failed: fewer than ``min_words`` words, or more than ``max_repeat`` per cent of them in 5-word
     windows that the text has twice.  Other rows are kept if they have fewer than ``guard_words`` words,
-    or if neither distance to the reference of their language is above its limit.  A row whose lang is
+    or if neither distance to the reference of their language is above its limit and common words are at
+    least ``min_common_share`` times and at most its inverse times as frequent as in it.  word_distance is that among the common words, 1 if
+    there are none; it and the share do not count where text and reference both lead to fewer than
+    LEAST_COMMON common words, as in languages that COMMON does not have.  A row whose lang is
     null, or too rare for a reference, is compared to the sum over all rows.  A null or empty text has no
     words, so it fails.  Rows are judged one by one; rows that repeat get the same result.
     """
@@ -147,10 +153,16 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
     )
     rows = docs.select(F.struct(*(docs.columns if keep_columns else [c for c in docs.columns if c in ("doc_id", "text", "lang")])).alias("row"))
     rows = rows.select("row", x.alias("x"))
-    distance = lambda k, name: F.round(_distance(F.get("x.h", F.lit(k)), pick(lambda r: numbers(r[name]))), 9)
+    common = lambda xs: [x or 0 for x in xs[: len(COMMON)]]
+    hits = F.col("x.n_words") - F.get(F.get("x.h", F.lit(1)), F.lit(len(COMMON)))
+    expected = F.col("x.n_words") * pick(lambda r: F.lit(sum(common(r["words"])) / max(1.0, sum(x or 0 for x in r["words"]))))
+    distance = lambda counts, reference: F.round(_distance(counts, pick(reference)), 9)
+    class_distance = distance(F.get("x.h", F.lit(0)), lambda r: numbers(r["classes"]))
+    word_distance = distance(F.slice(F.get("x.h", F.lit(1)), 1, len(COMMON)), lambda r: numbers(common(r["words"])))
     failed = (F.col("x.n_words") < min_words) | (100 * F.col("x.n_repeat_words") > max_repeat * F.col("x.n_words"))
-    rows = rows.select("row", "x", failed.alias("base_failed"), distance(0, "classes").alias("class_distance"), distance(1, "words").alias("word_distance"))
-    kept = ~F.col("base_failed") & ((F.col("x.n_words") < guard_words) | ((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)))
+    rows = rows.select("row", "x", failed.alias("base_failed"), class_distance.alias("class_distance"), word_distance.alias("word_distance"), hits.alias("hits"), expected.alias("expected"))
+    usual = (F.greatest("hits", "expected") < LEAST_COMMON) | ((F.col("word_distance") <= max_word_distance) & F.col("hits").between(min_common_share * F.col("expected"), F.col("expected") / min_common_share))
+    kept = ~F.col("base_failed") & ((F.col("x.n_words") < guard_words) | ((F.col("class_distance") <= max_class_distance) & usual))
     if keep_columns:
         # what depends on a partition's number is not moved below, so nothing is computed twice
         rows = rows.select("row", kept.alias("kept"), F.spark_partition_id().alias("at")).filter(F.col("kept") & (F.col("at") >= 0))
