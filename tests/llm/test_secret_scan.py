@@ -59,3 +59,14 @@ def test_empty_and_repeated_rows(spark, empty):
     assert secret_scan(empty).count() == 0
     rows = [(1, "secret=abcdefgh1", "en", "s", 0)] * 3
     assert [(r.n_assign, r.n_live, r.spans) for r in secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()] == [(1, 1, "assign:0:16")] * 3
+
+
+def test_many_rows_of_one_owner_are_copies(spark):
+    copied, live, nameless = "aB3dE5fG7hI9jK1lM2nO", "Qw7Er2Ty9Ui4Op6As1Df", "zX8cV6bN4mL2kJ1hG3fD"
+    rows = [(i, f"{i} {copied} y", "en", f"s{i % 2}", 0) for i in range(40)] + [(100 + i % 2, f"{i} {live}", "en", f"s{i % 2}", 0) for i in range(40)]
+    rows += [(None, f"{i} {nameless}", "en", "s0", 0) for i in range(40)] + [(200, f"x {live}", "en", "s0", 0)] * 10
+    found = secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        few = r.doc_id is not None and r.doc_id >= 100
+        assert (r.n_live, r.n_copied, r.spans != "") == ((1, 0, True) if few else (0, 1, False))

@@ -1,8 +1,8 @@
 """Secrets in texts, and who owns them, with DataFrame functions only.
 
 Every candidate value is hashed and counted over the corpus by distinct rows (repositories) and
-distinct sources (owners).  One that many owners have is a copied example; one that few have, and whose
-characters look random, looks live.  Values of the known kinds are always reported; strings of no known
+distinct sources (owners).  One that many owners or many rows have is a copied example; one that few of
+both have, and whose characters look random, looks live.  Values of the known kinds are always reported; strings of no known
 kind are reported as ``live`` when that count says so.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._work import key_columns, real_id, written
+from weftgraph.llm._work import NULL_ID, key_columns, real_id, written
 
 # Fixed patterns.  The letters of assign's key words match in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -59,14 +59,15 @@ def _spans(parts: list[tuple[int, Column]]) -> Column:
     return F.array_join(F.transform(F.array_sort(both), lambda m: F.concat_ws(":", F.get(names, m["kind"]), m["start"].cast("string"), m["end"].cast("string"))), ",")
 
 
-def secret_scan(docs: DataFrame, max_owners: int = 2, min_distinct: int = 12) -> DataFrame:
+def secret_scan(docs: DataFrame, max_owners: int = 2, max_repositories: int = 4, min_distinct: int = 12) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied of each row of ``docs``
     (doc_id, text, source).
 
-    Places are code points, ends exclusive.  n_live and n_copied count the values, of any kind, that at
-    most ``max_owners`` sources have and that more have.  A string of 20 or more characters with digits
+    Places are code points, ends exclusive.  n_live counts the values, of any kind, that at most
+    ``max_owners`` sources and at most ``max_repositories`` documents have, n_copied the others.  A
+    document is a doc_id, or a text where that is null.  A string of 20 or more characters with digits
     and letters of both cases, ``min_distinct`` of them different, is a value of kind live if it is not
-    inside another match and few sources have it.  A null text is empty; all null sources are one owner;
+    inside another match and as few sources and documents have it.  A null text is empty; all null sources are one owner;
     without a source column all rows have one owner.  Rows that repeat get the same result each.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
@@ -90,12 +91,14 @@ def secret_scan(docs: DataFrame, max_owners: int = 2, min_distinct: int = 12) ->
         .withColumn("hex", F.transform("hex", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))))
     )
     each = rows.filter(F.size("found") > 0).select("dkey", "tkey", "owner", F.explode("found").alias("f")).select("dkey", "tkey", "owner", "f.*")
-    owners = each.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("n_owners"))
+    # rows without an id are told apart by their texts; what is counted is distinct before one task has a hash
+    repository = F.struct("dkey", F.when(F.col("dkey") == NULL_ID, F.col("tkey")).alias("tkey")).alias("repository")
+    owners = each.select("hash", "owner", repository).distinct().groupBy("hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"))
     # a copied value has as many rows as it has copies: salted, so that no task gets them all
     salts = 16
     owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     judged = each.withColumn("salt", F.pmod(F.hash("dkey", "start"), F.lit(salts))).join(owners, ["hash", "salt"])
-    own = F.col("n_owners") <= max_owners
+    own = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     per_row = judged.groupBy("dkey", "tkey").agg(
         F.collect_set(F.when(own & (F.col("kind") == 3), F.struct("start", "end"))).alias("live"),
         F.count_distinct(F.when(own, F.struct("kind", "start", "end"))).alias("n_live"),
