@@ -531,8 +531,9 @@ def impact_seed_files(spark, d):
     return I.seeds({"CURRENT": g}, [], ["src/main/java/NATION_5/order.kt", "region.kt", "none/nation.kt"])[0]
 
 
-# traversal
+# traversal: whole results; limits are for reports
 
+WHOLE = {"max_depth": (1 << 31) - 1, "max_reached": None}
 
 @query(f"SELECT source, target, CASE WHEN origin = 'DISPATCH_MODEL' THEN 'CANDIDATE' WHEN kind = 'OVERRIDE' THEN 'CANDIDATE' WHEN origin = 'RUNTIME_MODEL' THEN 'BOUND' ELSE 'DIRECT' END AS tier, CASE WHEN kind = 'REFERENCE' AND origin <> 'RUNTIME_MODEL' THEN 'TYPE_REFERENCE' END AS class_role, CASE kind WHEN 'FIELD_ACCESS' THEN 'fieldAccess' ELSE lower(kind) END AS relationship FROM edges WHERE {USAGE} AND NOT {OWNER_REFERENCE}")
 def trav_tier(spark, d):
@@ -550,21 +551,21 @@ TRAV = {
 def traverse(spark, d):
     g = star.graph(spark, d)
     roots = T.resolve_roots(g.nodes, ["class:part/5", "class:part/77", "class:part/200", "class:region/2", "no such"])
-    return T.traverse(V.tiers(g), roots.select("id")).select("id", "n_roots", F.array_join("roots", ",").alias("roots"))
+    return T.traverse(V.tiers(g), roots.select("id"), **WHOLE).select("id", "n_roots", F.array_join("roots", ",").alias("roots"))
 
 
 @query("SELECT id, count(*) AS n_roots FROM pairs WHERE id <> root GROUP BY id", TRAV | {"steps": f"SELECT DISTINCT target AS source, source AS target FROM edges WHERE {USAGE} AND NOT {OWNER_REFERENCE}"})
 def traverse_reverse(spark, d):
     g = star.graph(spark, d)
     roots = g.nodes.filter("id IN ('class:part/5', 'class:part/77', 'class:part/200', 'class:region/2')").select("id")
-    return T.traverse(V.tiers(g), roots, forward=False).select("id", "n_roots")
+    return T.traverse(V.tiers(g), roots, forward=False, **WHOLE).select("id", "n_roots")
 
 
 @query("SELECT id, count(*) AS n_roots FROM pairs WHERE id <> root GROUP BY id", TRAV | {"steps": f"SELECT DISTINCT source, target FROM edges WHERE {USAGE} AND NOT {OWNER_REFERENCE} AND kind <> 'OVERRIDE' AND (kind <> 'REFERENCE' OR origin = 'RUNTIME_MODEL')"})
 def trav_narrowed(spark, d):
     g = star.graph(spark, d)
     roots = g.nodes.filter("id IN ('class:part/5', 'class:part/77', 'class:part/200', 'class:region/2')").select("id")
-    return T.traverse(V.tiers(g), roots, dispatch="bound", member_only=True).select("id", "n_roots")
+    return T.traverse(V.tiers(g), roots, dispatch="bound", member_only=True, **WHOLE).select("id", "n_roots")
 
 
 SUPERS = {"supers": "SELECT id AS source, 'class:' || supers AS target FROM nodes WHERE supers <> '' UNION SELECT s.source, 'class:' || n.supers FROM supers s JOIN nodes n ON n.id = s.target WHERE n.supers <> ''"}
