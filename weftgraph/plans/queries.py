@@ -494,14 +494,14 @@ def impact_depth(spark, d):
 @query()
 def impact_paths(spark, d):
     g = star.graph(spark, d)
-    found = I.affected(g, _changed(g), max_depth=4, visit_limit=None)
+    found = I.affected(g, _changed(g), visit_limit=None)
     w = I.witnesses(g, _changed(g), found)
     return w.select("id", F.array_join("path", ">").alias("path"), F.array_join("kinds", ">").alias("kinds"), I.relation(F.col("kinds")).alias("relation"))
 
 
 def _impact(spark, d):
     now = star.graph(spark, d)
-    return I.impact({"BASE": star.before(spark, d), "CURRENT": now}, _changed(now), max_depth=3, visit_limit=None)
+    return I.impact({"BASE": star.before(spark, d), "CURRENT": now}, _changed(now), visit_limit=None)
 
 
 @query()
