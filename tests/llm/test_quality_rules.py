@@ -66,3 +66,16 @@ def test_common_words_alone_reject(spark, docs):
     for i in range(200, 204):
         assert not found[i].base_failed and found[i].class_distance <= 0.25 and not found[i].kept
         assert i > 201 or found[i].word_distance > 0.7
+
+
+def test_few_rows_of_a_language_have_their_own_reference(spark, docs):
+    import random
+
+    r = random.Random(6)
+    nouns = "stone river hill walk tree cloud road field bread horse".split()
+    text = lambda common: " ".join(r.choice(common if r.random() < 0.3 else nouns) for _ in range(120))
+    english, german = "the of and to in is was for".split(), "der die und das den von ist mit".split()
+    rows = [(i, text(english), "en", "s", 0) for i in range(100)] + [(i, text(german), "de", "s", 0) for i in range(100, 120)]
+    found = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, docs.schema)).collect()}
+    assert len(found) == 120 and all(x.kept for x in found.values())
+    assert all(found[i].word_distance < 0.4 for i in range(100, 120))

@@ -9,8 +9,6 @@ Texts below a minimum length have too few counts for that and are left to the ba
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +23,8 @@ COMMON = (
     "le la les et un une que dans pour pas du sur "
     "el los las y del por con una se para es como"
 ).split()
-#: Languages with a reference of their own; rows of rarer ones are compared to the sum over all rows.
-MAX_LANGUAGES, MIN_ROWS = 256, 50
+#: Words of the sum over all rows that are added to each language's own counts.
+PRIOR_WORDS = 200
 #: The common words are judged where a text has so many, or would have by its reference.
 LEAST_COMMON = 5
 
@@ -105,9 +103,9 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), "")
 
 
-def references(docs: DataFrame, min_words: int) -> DataFrame:
-    """lang and the summed histograms of its texts of ``min_words`` words or more; those of all rows
-    under a null lang.  At most MAX_LANGUAGES + 1 rows."""
+def references(docs: DataFrame, min_words: int) -> tuple[DataFrame, Column]:
+    """lang and the summed histograms of its texts of ``min_words`` words or more, with PRIOR_WORDS of
+    those of all rows; and a struct of the latter."""
     text = F.coalesce("text", F.lit(""))
     # a filter on x.n would be moved below and compute x twice, so the sums skip rows instead
     rows = docs.select(F.col("lang").cast("string").alias("lang"), _let(F.struct(_words(text).alias("w"), _rare(text).alias("r")), lambda t: F.struct(F.size(t["w"]).alias("n"), F.array(*_histograms(text, t["r"], t["w"])).alias("h"))).alias("x"))
@@ -115,10 +113,11 @@ def references(docs: DataFrame, min_words: int) -> DataFrame:
     cells = [F.sum(F.when(long, F.get(F.get("x.h", F.lit(k)), F.lit(i)))).alias(f"c{k}_{i}") for k, n in ((0, 7), (1, len(COMMON) + 1)) for i in range(n)]
     by_lang = written(rows.groupBy("lang").agg(F.count_if(long).alias("rows"), *cells))
     names = [c for c in by_lang.columns if c not in ("lang", "rows")]
-    # few rows, one a language; only the most frequent go on
-    own = by_lang.filter(F.col("lang").isNotNull() & (F.col("rows") >= MIN_ROWS)).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).select("lang", *names)
-    both = own.unionByName(by_lang.agg(*(F.sum(c).alias(c) for c in names)).withColumn("lang", F.lit(None).cast("string")))
-    return both.select("lang", F.array(*(c for c in names if c[1] == "0")).alias("classes"), F.array(*(c for c in names if c[1] == "1")).alias("words"))
+    every = {c: float(n or 0) for c, n in by_lang.agg(*(F.sum(c).alias(c) for c in names)).first().asDict().items()}
+    part = PRIOR_WORDS / max(1.0, sum(n for c, n in every.items() if c[1] == "1"))
+    own = by_lang.filter(F.col("lang").isNotNull())
+    arrays = lambda cell: (F.array(*(cell(c) for c in names if c[1] == k)).alias(name) for k, name in (("0", "classes"), ("1", "words")))
+    return own.select("lang", *arrays(lambda c: F.coalesce(c, F.lit(0.0)) + part * every[c])), F.struct(*arrays(lambda c: F.lit(every[c])))
 
 
 def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, guard_words: int = 50, max_class_distance: float = 0.25, max_word_distance: float = 0.7, min_common_share: float = 0.2, keep_columns: bool = False) -> DataFrame:
@@ -131,13 +130,12 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
     or if neither distance to the reference of their language is above its limit and common words are at
     least ``min_common_share`` times and at most its inverse times as frequent as in it.  word_distance is that among the common words, 1 if
     there are none; it and the share do not count where text and reference both lead to fewer than
-    LEAST_COMMON common words, as in languages that COMMON does not have.  A row whose lang is
-    null, or too rare for a reference, is compared to the sum over all rows.  A null or empty text has no
+    LEAST_COMMON common words, as in languages that COMMON does not have.  A reference is the sum over the
+    language, however few its rows, and PRIOR_WORDS words of the sum over all rows; a row whose lang is
+    null is compared to the latter.  A null or empty text has no
     words, so it fails.  Rows are judged one by one; rows that repeat get the same result.
     """
-    refs = references(docs, guard_words).collect()  # at most MAX_LANGUAGES + 1
-    numbers = lambda xs: F.array(*(F.lit(float(x or 0)) for x in xs))
-    pick = lambda f: reduce(lambda acc, r: acc.when(F.col("row.lang").cast("string") == r.lang, f(r)), (r for r in refs if r.lang is not None), F.when(F.lit(False), f(refs[0]))).otherwise(next(f(r) for r in refs if r.lang is None))
+    refs, every = references(docs, guard_words)
     text = F.coalesce("row.text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     x = _let(
@@ -152,13 +150,15 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
         ),
     )
     rows = docs.select(F.struct(*(docs.columns if keep_columns else [c for c in docs.columns if c in ("doc_id", "text", "lang")])).alias("row"))
-    rows = rows.select("row", x.alias("x"))
-    common = lambda xs: [x or 0 for x in xs[: len(COMMON)]]
+    # a row a language: a hash join, unless languages are as many as rows
+    rows = rows.select("row", x.alias("x")).join(refs.select(F.col("lang").alias("ref_lang"), F.struct("classes", "words").alias("ref")), F.col("row.lang").cast("string") == F.col("ref_lang"), "left")
+    rows = rows.select("row", "x", F.coalesce("ref", every).alias("ref"))
+    common = lambda counts: F.slice(counts, 1, len(COMMON))
+    total = lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
     hits = F.col("x.n_words") - F.get(F.get("x.h", F.lit(1)), F.lit(len(COMMON)))
-    expected = F.col("x.n_words") * pick(lambda r: F.lit(sum(common(r["words"])) / max(1.0, sum(x or 0 for x in r["words"]))))
-    distance = lambda counts, reference: F.round(_distance(counts, pick(reference)), 9)
-    class_distance = distance(F.get("x.h", F.lit(0)), lambda r: numbers(r["classes"]))
-    word_distance = distance(F.slice(F.get("x.h", F.lit(1)), 1, len(COMMON)), lambda r: numbers(common(r["words"])))
+    expected = F.col("x.n_words") * total(common(F.col("ref.words"))) / F.greatest(F.lit(1.0), total(F.col("ref.words")))
+    class_distance = F.round(_distance(F.get("x.h", F.lit(0)), F.col("ref.classes")), 9)
+    word_distance = F.round(_distance(common(F.get("x.h", F.lit(1))), common(F.col("ref.words"))), 9)
     failed = (F.col("x.n_words") < min_words) | (100 * F.col("x.n_repeat_words") > max_repeat * F.col("x.n_words"))
     rows = rows.select("row", "x", failed.alias("base_failed"), class_distance.alias("class_distance"), word_distance.alias("word_distance"), hits.alias("hits"), expected.alias("expected"))
     usual = (F.greatest("hits", "expected") < LEAST_COMMON) | ((F.col("word_distance") <= max_word_distance) & F.col("hits").between(min_common_share * F.col("expected"), F.col("expected") / min_common_share))
