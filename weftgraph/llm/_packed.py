@@ -75,7 +75,8 @@ def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         out[0].append(unplanes(k, width))
         out[1].append(np.repeat(np.frombuffer(d, "<i8"), count))
         out[2].append(np.repeat(np.frombuffer(t, "<i8"), count))
-        out[3].append(total - np.repeat(total[first] - step[first], count))
+        # a step back wraps around
+        out[3].append((total - np.repeat(total[first] - step[first], count)) & ((1 << 40) - 1))
     return tuple(np.concatenate(x) for x in out)
 
 
