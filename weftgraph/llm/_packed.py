@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm._text import M1, U, mix, row_of
+from weftgraph.llm._work import joined
 
 #: Postings that a map task gathers before it sends blocks.
 GATHER = 1_500_000
-SCHEMA = "part int, keys binary, dkeys binary, tkeys binary, counts binary, pos binary"
-_ARROW = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("keys", "dkeys", "tkeys", "counts", "pos"))])
+SCHEMA = "part int, keys binary, dkeys binary, tkeys binary, counts binary, pos binary, checks binary"
+_ARROW = pa.schema([("part", pa.int32()), *((x, pa.binary()) for x in ("keys", "dkeys", "tkeys", "counts", "pos", "checks"))])
 
 
 def planes(x: np.ndarray, width: int) -> bytes:
@@ -39,9 +40,9 @@ def range_of(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> U(32)) * U(n)) >> U(32)
 
 
-def blocks(keys: np.ndarray, dkeys: np.ndarray, tkeys: np.ndarray, pos: np.ndarray, n: int, width: int, above: int = 0, part: np.uint64 | None = None) -> Iterator[pa.RecordBatch]:
+def blocks(keys: np.ndarray, dkeys: np.ndarray, tkeys: np.ndarray, pos: np.ndarray, n: int, width: int, above: int = 0, part: np.uint64 | None = None, checks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Postings sorted by document and position, as one row a range of the keys, or as range ``part``;
-    ranges count from ``above``."""
+    ranges count from ``above``.  ``checks`` are 32 more bits of the keys."""
     if not len(keys):
         return
     part = range_of(keys, n) if part is None else np.full(len(keys), part)
@@ -61,13 +62,14 @@ def blocks(keys: np.ndarray, dkeys: np.ndarray, tkeys: np.ndarray, pos: np.ndarr
         rows["tkeys"].append(t[new].astype("<i8").tobytes())
         rows["counts"].append(planes(np.diff(np.r_[new, b - a]), 4))
         rows["pos"].append(planes(step.astype(np.int64), 5))
+        rows["checks"].append(b"" if checks is None else planes(checks[o], 4))
     yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
 
 
 def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """keys, dkeys, tkeys, positions of the postings of one range."""
     out: list[list[np.ndarray]] = [[], [], [], []]
-    for k, d, t, c, p in zip(*(table.column(x).to_pylist() for x in _ARROW.names[1:]), strict=True):
+    for k, d, t, c, p in zip(*(table.column(x).to_pylist() for x in _ARROW.names[1:6]), strict=True):
         count = unplanes(c, 4).astype(np.int64)
         step = unplanes(p, 5).astype(np.int64)
         first = np.cumsum(count) - count
@@ -80,6 +82,19 @@ def unpack(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in out)
 
 
+def told_apart(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Values that are equal where both the keys and the checks are."""
+    order = np.argsort(keys, kind="stable")
+    k, c = keys[order], checks[order]
+    if not ((k[1:] == k[:-1]) & (c[1:] != c[:-1])).any():
+        return keys
+    order = np.lexsort((checks, keys))
+    k, c = keys[order], checks[order]
+    out = np.empty(len(keys), U)
+    out[order] = np.cumsum(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]).astype(U)
+    return out
+
+
 def occurrence(tkeys: np.ndarray, pos: np.ndarray) -> np.ndarray:
     """The same value for the same place in the same text."""
     return mix(tkeys.view(U) * M1 + pos.astype(U))
@@ -100,7 +115,7 @@ def repeated(keys: np.ndarray, occ: np.ndarray) -> np.ndarray:
 
 
 def sent(docs: DataFrame, of_batch: Callable, n: int, width: int) -> DataFrame:
-    """Blocks of what ``of_batch(batch)`` yields: (keys, dkeys, tkeys, positions) of some rows.
+    """Blocks of what ``of_batch(batch)`` yields: (keys, dkeys, tkeys, positions[, checks]) of some rows.
 
     Copies of a text within a task count once.  Postings that the task itself finds repeated go to
     ranges from n on, which hold results.
@@ -112,19 +127,20 @@ def sent(docs: DataFrame, of_batch: Callable, n: int, width: int) -> DataFrame:
         def flush():
             nonlocal have, size
             if have:
-                k, d, t, p = (np.concatenate(x) for x in zip(*have, strict=True))
+                k, d, t, p, *c = (np.concatenate(x) for x in zip(*have, strict=True))
                 have, size = [], 0
                 order = np.lexsort((p, d, t))
-                k, d, t, p = k[order], d[order], t[order], p[order]
+                k, d, t, p, *c = (x[order] for x in (k, d, t, p, *c))
                 same = mix(k ^ occurrence(t, p))
                 keep = np.sort(np.unique(same, return_index=True)[1])
-                k, d, t, p = k[keep], d[keep], t[keep], p[keep]
-                known = repeated(k, occurrence(t, p))
+                k, d, t, p, *c = (x[keep] for x in (k, d, t, p, *c))
+                name = told_apart(k, c[0]) if c else k
+                known = repeated(name, occurrence(t, p))
                 yield from blocks(mix(t[known].view(U)), d[known], t[known], p[known], n, 1, n)
-                order = np.flatnonzero(known)[np.argsort(k[known], kind="stable")]
-                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(np.r_[True, k[order][1:] != k[order][:-1]][: len(order)], np.arange(len(order)), 0))
+                order = np.flatnonzero(known)[np.argsort(name[known], kind="stable")]
+                nth = np.arange(len(order)) - np.maximum.accumulate(np.where(np.r_[True, name[order][1:] != name[order][:-1]][: len(order)], np.arange(len(order)), 0))
                 known[order[nth < 2]] = False
-                yield from blocks(k[~known], d[~known], t[~known], p[~known], n, width)
+                yield from blocks(k[~known], d[~known], t[~known], p[~known], n, width, checks=c[0][~known] if c else None)
 
         for batch in batches:
             for found in of_batch(batch):
@@ -164,6 +180,9 @@ def found_twice(postings: DataFrame, n: int, width: int) -> DataFrame:
             return table.set_column(0, "part", pa.array([part - n] * len(table), pa.int32()))
         k, d, t, p = unpack(table, width)
         occ = occurrence(t, p)
+        checks = np.concatenate([unplanes(x, 4) for x in table.column("checks").to_pylist()])
+        if len(checks):
+            k = told_apart(k, checks)
         hit = repeated(k, occ)
         k, d, t, p, occ = (x[hit] for x in (k, d, t, p, occ))
         order = np.lexsort((d, occ, k))
@@ -189,11 +208,10 @@ def postings(batch: pa.RecordBatch, lo: int, hi: int, off: np.ndarray, keys: np.
 def copies(keys: DataFrame) -> DataFrame:
     """dkey, tkey of rows whose text some other row has, too; is_rep marks that with the least id.
 
-    Counts meet by text before they are spread to rows; rows of a large group stay apart in the join,
-    which Spark can split.
+    Counts meet by text before they are spread to rows; rows of a large group stay apart in the join.
     """
-    groups = keys.groupBy("tkey", "n_bytes").agg(F.count("*").alias("n"), F.min("dkey").alias("least"), F.max("dkey").alias("most")).filter("n > 1")
-    return keys.join(groups, ["tkey", "n_bytes"]).select("dkey", "tkey", (F.col("dkey") == F.col("least")).alias("is_rep")).distinct()
+    groups = keys.groupBy("tkey", "n_bytes").agg(F.count("*").alias("n"), F.min("dkey").alias("least")).filter("n > 1")
+    return joined(keys, groups, ["tkey", "n_bytes"], "n", "dkey").select("dkey", "tkey", (F.col("dkey") == F.col("least")).alias("is_rep")).distinct()
 
 
 def with_found(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -111,6 +111,12 @@ def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
         size, scale = 2 * size, U(int(scale) ** 2 % (1 << 64))
 
 
+def run_checks(h: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """32 bits of what h[i : i + k] sums up to, for each i of ``at``: told apart otherwise than by run_hashes."""
+    total = np.r_[U(0), np.cumsum(mix(h ^ M2))]
+    return mix(total[at + k] - total[at]) >> U(32)
+
+
 def full(off: np.ndarray, k: int) -> np.ndarray:
     """Positions at which a run of k units starts and ends in one row, for rows with offsets ``off``."""
     return np.flatnonzero(np.arange(int(off[-1])) + k <= np.repeat(off[1:], np.diff(off)))

@@ -29,12 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """The rows of ``df``, read back from a table in the shared folder.
 
-    Lineage ends there, so the shuffle files of the plan behind it are removed once it is written.
+    Lineage ends there, so the shuffle files of the plan behind it are removed once it is written.  The
+    table itself goes when ``removed``, or when the driver ends.
     """
     spark = df.sparkSession
     path, clean = f"{shared_dir(spark)}/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(clean, None)
     spark.conf.set(clean, "true")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     try:
         df.select("*").write.option("compression", "zstd").parquet(path)
     finally:
@@ -51,6 +54,24 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def joined(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: str, few: int = 1000, most: int = 10_000) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row a key and in ``size`` how many of ``rows`` have it.
+
+    A key with more than ``few`` rows, and more than one in ``most`` of all, is dealt over tasks by the
+    hash of ``spread``.  There are ``most`` such keys at most, so that they are broadcast.
+    """
+    groups = written(groups)
+    limit = max(few, (groups.agg(F.sum(size)).first()[0] or 0) // most)
+    parts = F.ceil(F.col(size) / F.lit(limit)).cast("int")
+    hot = groups.filter(F.col(size) > limit)
+    if hot.isEmpty():
+        return rows.join(groups, on)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.join(F.broadcast(hot.select(*on, parts.alias("salts"))), on, "left")
+    rows = rows.withColumn("salt", F.pmod(F.hash(spread), F.coalesce("salts", F.lit(1)))).drop("salts")
+    return rows.join(salted, [*on, "salt"]).drop("salt")
+
+
 def text_bytes(docs: DataFrame) -> int:
     """Bytes of all texts; sizes the number of key ranges."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
