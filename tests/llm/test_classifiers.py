@@ -2,10 +2,13 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from weftgraph.llm import quality_model as quality_module
+from weftgraph.llm import toxicity as toxicity_module
 from weftgraph.llm.quality_model import Attention, quality_model
-from weftgraph.llm.toxicity import Machine, toxicity
+from weftgraph.llm.toxicity import toxicity
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -53,16 +56,68 @@ def test_no_labels_and_no_rows(corpus, spark, make):
     assert make(docs.limit(0), labels).count() == 0
 
 
-def test_pairs_are_learned():
-    """Both alone: 0; together: 1; neither: 1 - linear weights can't say that."""
+def learned(texts, labels):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(labels, pa.int32()), pa.array(texts)], names=["dkey", "y", "text"])
+    return toxicity_module.fit(pa.Table.from_batches(list(toxicity_module._features([batch]))))
+
+
+def test_pairs_are_learned_end_to_end():
+    """Both words or neither: 1; one of them: 0 - neither word says anything alone."""
     r = np.random.default_rng(0)
-    a, b = r.random(600) < 0.5, r.random(600) < 0.5
-    cells = [np.flatnonzero([x, y, True]) for x, y in zip(a, b, strict=True)]
-    off = np.r_[0, np.cumsum([len(c) for c in cells])]
-    m = Machine(np.arange(3))
-    m.fit(np.concatenate(cells), off, (a == b).astype(float), 60, 0.3, 0)
-    z, _, _ = m.margin(np.concatenate(cells), off)
-    assert ((z > 0) == (a == b)).mean() > 0.95
+    texts, labels = [], []
+    for _ in range(2000):
+        a, b = r.random(2) < 0.5
+        w = [f"filler{k}" for k in r.integers(0, 300, 20)]
+        w[3:3] = ["zorp"] * bool(a) + ["quix"] * bool(b)
+        texts.append(" ".join(w))
+        labels.append(int(a == b))
+    m = learned(texts[:1500], labels[:1500])
+    assert ((m.score(pa.array(texts[1500:])) >= 0.5) == np.array(labels[1500:])).mean() > 0.95
+
+
+def test_machine_scores_like_a_sum_over_pairs():
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "insulting", "groups", "delta", "x", "naïve"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    m = learned(texts, [int("insulting" in t and "groups" in t) for t in texts])
+    expected = []
+    for t in [*texts, "unseen words only", ""]:
+        (_, _, cells, _), = toxicity_module.terms(pa.array([t]))
+        z = m.bias + sum(float(m.weight[i]) for i in cells)
+        z += sum(float(m.vector[i] @ m.vector[j]) for k, i in enumerate(cells) for j in cells[:k]) / max(1, len(cells)) ** 0.5
+        expected.append(1 / (1 + np.exp(-z)))
+    assert np.allclose(m.score(pa.array([*texts, "unseen words only", ""])), expected, atol=1e-4)
+
+
+def test_attention_scores_like_a_loop_over_documents():
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["word", "other", "###", "UPPER", "42"]) for _ in range(r.choice([0, 1, 5, 64, 65, 300]))) for _ in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(80)), pa.array([int("###" not in t) for t in texts], pa.int32()), pa.array(texts)], names=["dkey", "y", "text"])
+    m = quality_module.fit(pa.Table.from_batches(list(quality_module._features([batch]))), epochs=3)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    expected = []
+    for t in texts:
+        bags = []
+        for _, _, x, _ in quality_module.passages(pa.array([t])):
+            for row in x:
+                h = np.tanh(np.append((row - m.mean) / m.scale, 1) @ m.p["E"])
+                bags.append((np.exp((np.tanh(h @ m.p["V"]) * sigmoid(h @ m.p["U"])) @ m.p["a"]), h))
+        pooled = sum(w * h for w, h in bags) / sum(w for w, _ in bags)
+        expected.append(sigmoid(pooled @ m.p["s"] + m.p["b"][0]))
+    assert np.allclose(m.score(pa.array(texts)), expected, atol=1e-9)
+
+
+def test_repeated_rows_and_ids(corpus):
+    docs, labels, _ = corpus
+    few = docs.filter("doc_id < 300")
+    other = few.selectExpr("doc_id", "concat(text, ' blorgish zanti') AS text", "lang", "source", "n_chars")
+    for make in (toxicity, quality_model):
+        once = {(r.doc_id, r.score) for r in make(few, labels).collect()}
+        twice = make(few.union(few), labels).collect()
+        assert len(twice) == 600 and {(r.doc_id, r.score) for r in twice} == once
+        # an id with two texts: the same one teaches, however the rows are dealt
+        a, b = (sorted((r.doc_id, r.score) for r in make(x, labels).collect()) for x in (few.union(other).repartition(2), other.union(few).repartition(5)))
+        assert a == b
 
 
 def test_gradient_of_attention():

@@ -19,11 +19,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     """text and y of at most ``max_rows`` labelled rows that are not held out.
 
     The rows are those whose ids have the least hashes, so they do not depend on how tables are split.
-    An id with several labels has the greatest; null ids and labels are left out.
+    An id with several labels has the greatest, one with several texts the first in order of the bytes'
+    hash; null ids and labels are left out.
     """
     y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("dkey")).agg(F.max(F.col(label).cast("int")).alias("y"))
     y = y.filter(remainder(F.col("dkey"), modulus) != held_out).orderBy(F.xxhash64("dkey"), "dkey").limit(max_rows)
-    return keyed(docs).join(F.broadcast(y), "dkey").dropDuplicates(["dkey"]).select("dkey", "text", "y")
+    rows = keyed(docs).join(F.broadcast(y), "dkey")
+    return rows.groupBy("dkey").agg(F.min(F.struct("tkey", "text")).alias("t"), F.first("y").alias("y")).select("dkey", "t.text", "y")
 
 
 def fitted(rows: DataFrame, features, schema: str, fit):

@@ -2,7 +2,9 @@
 
 Terms are a text's distinct words and the beginnings of its words, hashed into buckets.  Besides a weight
 each bucket has a vector; the product of two vectors is the weight of the pair, so a pair of terms can
-mean what neither means alone, at a cost linear in the number of terms.
+mean what neither means alone, at a cost linear in the number of terms.  Every bucket that the training
+rows have gets a weight and a vector: nothing is chosen by what a term says alone.  Buckets without
+training rows count for nothing.
 """
 
 from __future__ import annotations
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame
 from weftgraph.llm import _text as T
 from weftgraph.llm._labels import fitted, scored, training_rows
 
-BUCKETS = 1 << 20
+#: Buckets, and factors of each: the table that the model learns whole, and that scoring tasks get.
+BUCKETS, FACTORS = 1 << 17, 8
 #: Bytes of the beginnings of words that are terms; 0 is the whole word.
 BEGINNINGS = (0, 4, 6)
-#: Buckets that the model uses, factors of each, and the least number of training rows with a bucket.
-USED, FACTORS, LEAST_ROWS = 1024, 8, 4
+#: Rows of a step; rates of weights and vectors; how many times the spread of its gradients a weight has to
+#: be pulled from 0 by; pull of vectors to 0.
+BATCH, RATE_W, RATE_V, THRESHOLD, DECAY_V = 64, 3.0, 0.05, 1.0, 0.05
 
 
 def terms(column):
@@ -43,18 +47,12 @@ def _features(batches):
 
 
 class Machine:
-    """Scores; ``place`` maps a bucket to its parameters, or to -1."""
+    """Scores; ``known`` are the buckets that training rows have."""
 
-    def __init__(self, used: np.ndarray):
-        self.place = np.full(BUCKETS, -1, np.int32)
-        self.place[used] = np.arange(len(used))
-        self.bias, self.weight = 0.0, np.zeros(len(used))
-        self.vector = np.random.default_rng(1).normal(0, 0.02, (len(used), FACTORS))
-
-    def rows(self, cells: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.place[cells]
-        keep = np.r_[0, np.cumsum(at >= 0)]
-        return at[at >= 0], keep[off]
+    def __init__(self, known: np.ndarray):
+        self.bias, self.weight = 0.0, np.zeros(BUCKETS, np.float32)
+        self.vector = np.zeros((BUCKETS, FACTORS), np.float32)
+        self.vector[known] = np.random.default_rng(1).normal(0, 0.05, (len(known), FACTORS))
 
     def margin(self, at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -68,55 +66,56 @@ class Machine:
         scale = 1 / np.sqrt(np.maximum(1, np.diff(off)))
         return self.bias + linear + scale * (total**2 - square).sum(1) / 2, total, scale
 
-    def fit(self, at: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int, rate: float, decay: float) -> None:
+    def fit(self, at: np.ndarray, off: np.ndarray, y: np.ndarray, epochs: int) -> None:
+        """``epochs`` for the weights alone, and as many for both, so that vectors learn what weights cannot say.
+
+        Weights follow the regularised leader, whose threshold leaves those at 0 that few rows or no clear
+        difference speak for; vectors take plain gradient steps, which are small for rare buckets.
+        """
         r = np.random.default_rng(2)
-        seen_b, seen_w, seen_v = 1e-8, np.full(len(self.weight), 1e-8), np.full(self.vector.shape, 1e-8)
-        for _ in range(epochs):
-            order = r.permutation(len(y))
-            for rows in np.array_split(order, max(1, len(y) // 64)):
+        sum_w, square_w, square_b = np.zeros(BUCKETS), np.zeros(BUCKETS), 1.0
+        for epoch in range(2 * epochs):
+            for rows in np.array_split(r.permutation(len(y)), max(1, len(y) // BATCH)):
                 size = np.diff(off)[rows]
                 cut = np.r_[0, np.cumsum(size)]
                 a = at[np.repeat(off[rows] - cut[:-1], size) + np.arange(cut[-1])]
                 z, total, scale = self.margin(a, cut)
-                g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
+                g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]
                 row = np.repeat(np.arange(len(rows)), size)
                 u, where = np.unique(a, return_inverse=True)
-                gw = np.bincount(where, g[row], len(u)) + decay * self.weight[u]
-                gv = np.zeros((len(u), FACTORS))
-                step = (g * scale)[row, None] * (total[row] - self.vector[a])
-                for f in range(FACTORS):
-                    gv[:, f] = np.bincount(where, step[:, f], len(u))
-                gv += decay * self.vector[u]
-                seen_b += g.sum() ** 2
-                seen_w[u] += gw**2
-                seen_v[u] += gv**2
-                self.bias -= rate * g.sum() / np.sqrt(seen_b)
-                self.weight[u] -= rate * gw / np.sqrt(seen_w[u])
-                self.vector[u] -= 0.3 * rate * gv / np.sqrt(seen_v[u])
+                gw = np.bincount(where, g[row], len(u))
+                before = np.sqrt(square_w[u])
+                square_w[u] += gw**2
+                step = (np.sqrt(square_w[u]) - before) / RATE_W
+                sum_w[u] += gw - step * self.weight[u]
+                over = np.maximum(np.abs(sum_w[u]) - THRESHOLD * (1 + np.sqrt(square_w[u])), 0)
+                self.weight[u] = -np.sign(sum_w[u]) * over / ((1 + np.sqrt(square_w[u])) / RATE_W + 0.1)
+                square_b += g.sum() ** 2
+                self.bias -= RATE_W * g.sum() / np.sqrt(square_b)
+                if epoch < epochs:
+                    continue
+                pull = (g * scale)[row, None] * (total[row] - self.vector[a])
+                gv = np.stack([np.bincount(where, pull[:, f], len(u)) for f in range(FACTORS)], 1)
+                self.vector[u] -= np.clip(RATE_V * (gv + DECAY_V * self.vector[u]), -0.5, 0.5)
 
     def score(self, column) -> np.ndarray:
         out = [np.empty(0)]
         for _, _, cells, off in terms(column):
-            z, _, _ = self.margin(*self.rows(cells, off))
+            z, _, _ = self.margin(cells, off)
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return np.concatenate(out)
 
 
-def fit(table: pa.Table | None) -> Machine:
-    """Keeps the buckets that tell the classes apart best, then fits."""
+def fit(table: pa.Table | None, epochs: int = 6, steps: int = 300) -> Machine:
+    """Of the rows' terms, in ``epochs``, or more where those have fewer than ``steps`` steps; without rows, a
+    machine that scores 0.5."""
     if table is None or not len(table):
         return Machine(np.empty(0, np.int64))
     y = table.column("y").to_numpy().astype(float)
     cells = [np.frombuffer(x, "<i4") for x in table.column("terms").to_pylist()]
-    off = np.r_[0, np.cumsum([len(x) for x in cells])]
     flat = np.concatenate(cells).astype(np.int64)
-    row = np.repeat(np.arange(len(y)), np.diff(off))
-    n, pos = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, y[row], BUCKETS)
-    rate = y.mean()
-    z = np.where(n >= LEAST_ROWS, np.abs(pos - n * rate) / np.sqrt(np.maximum(n, 1) * max(rate * (1 - rate), 1e-9) + 1), 0)
-    used = np.sort(np.argsort(-z, kind="stable")[:USED])
-    m = Machine(used[z[used] > 3.0])
-    m.fit(*m.rows(flat, off), y, 12, 0.3, 1e-5)
+    m = Machine(np.unique(flat))
+    m.fit(flat, np.r_[0, np.cumsum([len(x) for x in cells])], y, max(epochs, -(-steps * BATCH // len(y))))
     return m
 
 
