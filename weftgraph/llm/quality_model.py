@@ -47,8 +47,10 @@ def passages(column):
             same = np.r_[False, (h[1:] == h[:-1]) & (row[1:] == row[:-1])]
             order = np.lexsort((h, at))
             new = np.r_[True, (h[order][1:] != h[order][:-1]) | (at[order][1:] != at[order][:-1])]
-            white = np.diff(np.r_[s, len(data)]) - length
-            x[:, 6] = chars / safe / 10
+            # up to the next word of the row, or to its end
+            last = np.r_[row[1:] != row[:-1], True]
+            white = np.where(last, off[row + 1], np.r_[s[1:], len(data)]) - e
+            x[:, 6] = np.where(size > 0, chars / safe / 10, 0)
             x[:, 7] = np.bincount(at, same, cut[-1]) / safe
             x[:, 8] = np.bincount(at[order], new, cut[-1]) / safe
             x[:, 9] = np.bincount(at, length == 1, cut[-1]) / safe
