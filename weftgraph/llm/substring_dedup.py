@@ -4,7 +4,7 @@ A cover D modulo v holds two members at every difference.  So for any two starts
 35-word passage there is an offset below v at which both i and j land on members of D: hashing only
 the windows at those positions (5 of 21) still gives every repeated passage an anchor that is shared
 and aligned.  Passages are then extended from shared anchors: all 35-word windows around them, and no
-others, are hashed whole, and a window is removed if its hash is found at another place.
+others, are hashed whole (to 96 bits), and a window is removed if its hash is found at another place.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def _windows(window: int):
             shared = np.r_[0, np.cumsum(T.flags(batch.column("positions"), lo, hi, w))]
             at = T.full(w, window)
             at = at[shared[at + window - size + 1] > shared[at]]
-            yield K.postings(batch, lo, hi, w, T.run_hashes(h, window)[at], at)
+            yield *K.postings(batch, lo, hi, w, T.run_hashes(h, window)[at], at), T.run_checks(h, at, window)
 
     return of
 

@@ -1,12 +1,15 @@
 """Removal of long byte strings that occur more than once, by distributed prefix doubling.
 
-Positions are ranked by the strings that start there, at growing lengths.  A rank is a 64-bit name:
-that of a string of 2n bytes is made from the pair of the ranks at i and i + n.  Each round sorts the
-names in ranges over the cluster, and positions whose name is unique leave, until the strings are past
-the threshold.  The first round ranks 128-byte strings only at positions which depend on nothing but
-the bytes around them (the least of 128 neighbouring names), which every repeated 400-byte string has
-at the same places; the second ranks the pair of the first and the last of those in a 400-byte string;
-the third ranks whole strings, at all positions that are left.
+Positions are ranked by the strings that start there, at growing lengths: the rank of a string of 2n
+bytes is made from the pair of the ranks at i and i + n.  Each round sorts (rank, position) in ranges
+over the cluster; positions whose rank is unique leave; and the offset doubles, until the strings are as
+long as the threshold.  A rank is a 64-bit name instead of a dense number, so a map task that holds
+a string a million times can tell that itself, and no task has to hand a number back to all of them.
+
+A round need not rank every position that is left.  While strings are shorter than the threshold, it
+takes those whose name is the least of a window of them: that depends on nothing but the bytes around,
+so a repeated string of the threshold's length has them at the same places, wherever it stands, and it
+goes on if those at its start and its end do.  The last round ranks every position left.
 """
 
 from __future__ import annotations
@@ -20,61 +23,54 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import _packed as K
 from weftgraph.llm import _text as T
-from weftgraph.llm._work import keyed, ranges, real_id, text_bytes, written
+from weftgraph.llm._work import keyed, ranges, real_id, removed, text_bytes, written
 
 _NAMES = T.mix(np.arange(1, 257, dtype=T.U))
 
 
-def _sizes(length: int) -> int:
-    """Bytes of the first strings and number of neighbours: a power of two, both within ``length``."""
-    return 1 << ((length // 2).bit_length() - 1 - (length < 256))
+def rounds(length: int) -> list[tuple[int, int]]:
+    """Bytes of the strings and positions of a window of each round, such that both fit into ``length``."""
+    longest = length - 15
+    sizes = [-(-longest // 4), -(-longest // 2), longest]
+    return [(k, 1 << ((length - k + 1).bit_length() - 1)) for k in sizes] + [(length, 1)]
 
 
-def _cells(batch: pa.RecordBatch, length: int):
-    """Runs of rows with, of each string of ``length`` bytes in a row: its place, first and last pick."""
-    k = _sizes(length)
-    for lo, hi, data, off in T.texts(batch.column("text"), 1 << 20):
-        at = T.full(off, length)
-        names = _NAMES[data]
-        h = T.run_hashes(names, k)
-        pick = T.least(h, k) if len(h) >= k else h.astype(np.int64)
-        yield lo, hi, off, names, h, at, pick[at], pick[at + length - 2 * k + 1]
+def _ranks(data: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    """Of each size, the ranks of all positions, from pairs of those of the size before."""
+    out = [T.run_hashes(_NAMES[data], sizes[0])]
+    for k, longer in zip(sizes[:-1], sizes[1:], strict=True):
+        n = max(0, len(out[-1]) - (longer - k))
+        out.append(T.mix(out[-1][:n] * T.P + out[-1][longer - k : longer - k + n]))
+    return out
 
 
-def _first(length: int):
-    def of(batch):
-        for lo, hi, off, _, h, _, a, b in _cells(batch, length):
-            at = np.union1d(a, b)
-            yield K.postings(batch, lo, hi, off, h[at], at)
-
-    return of
-
+def _ends(h: np.ndarray, at: np.ndarray, k: int, window: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which positions stand for the start and the end of the strings of ``length`` bytes at ``at``."""
+    least = T.least(h, window)
+    return least[at], least[at + length - k - window + 1]
 
-def _second(length: int):
-    """The rank pair of the first and the last pick of a string, and their distance, if both are left."""
-
-    def of(batch):
-        for lo, hi, off, _, h, at, a, b in _cells(batch, length):
-            left = T.flags(batch.column("positions"), lo, hi, off)
-            ok = left[a] & left[b] if len(at) else np.zeros(0, bool)
-            at, a, b = at[ok], a[ok], b[ok]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-            at, a, b = at[new], a[new], b[new]
-            yield K.postings(batch, lo, hi, off, T.mix(T.mix(h[a] ^ (b - a).astype(T.U)) ^ h[b]), at)
-
-    return of
 
+def _round(steps: list[tuple[int, int]], length: int):
+    """Postings of the last of ``steps``; rows have the positions that the one before left."""
 
-def _third(length: int):
     def of(batch):
-        for lo, hi, off, names, _, at, a, b in _cells(batch, length):
+        for lo, hi, data, off in T.texts(batch.column("text"), 1 << 20):
+            at = T.full(off, length)
             if not len(at):
                 continue
-            left = T.flags(batch.column("positions"), lo, hi, off)
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            # a run of strings with the same picks has its mark at the first of them that was sent
-            at = at[left[at[new]][np.cumsum(new) - 1]]
-            yield K.postings(batch, lo, hi, off, T.run_hashes(names, length)[at], at)
+            ranks = _ranks(data, [k for k, _ in steps])
+            if len(steps) > 1:
+                left = T.flags(batch.column("positions"), lo, hi, off)
+                a, b = _ends(ranks[-2], at, *steps[-2], length)
+                at = at[left[a] & left[b]]
+            if (k := steps[-1][0]) < length:
+                take = np.zeros(len(ranks[-1]), bool)
+                for x in _ends(ranks[-1], at, *steps[-1], length):
+                    take[x] = True
+                at = np.flatnonzero(take)
+                yield K.postings(batch, lo, hi, off, ranks[-1][at], at)
+            else:
+                yield *K.postings(batch, lo, hi, off, ranks[-1][at], at), T.run_checks(_NAMES[data], at, k)
 
     return of
 
@@ -91,15 +87,21 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     if length < 64:
         raise ValueError("length is 64 at least")
     rows, amount = keyed(docs), text_bytes(docs)
-    n = ranges(amount / _sizes(length) * 2, 1e6)
-    every = written(K.with_found(rows, K.found_twice(K.sent(rows, _first(length), n, 6), n, 6)))
-    some = every.filter("open").select("dkey", "tkey", "text", "positions", "copied")
-    m = ranges(amount / _sizes(length), 1e6)
-    second = K.found_twice(K.sent(some, _second(length), m, 6), m, 6)
-    some = written(some.drop("positions").join(second.hint("shuffle_hash"), ["dkey", "tkey"], "left"))
-    m = ranges(amount / 8, 1.5e6)
-    third = written(K.found_twice(K.sent(some.filter("positions is not null"), _third(length), m, 8), m, 8))
-    some = some.drop("positions").join(third.hint("shuffle_hash"), ["dkey", "tkey"], "left").select("dkey", "text", "positions", "copied")
+    steps, every, left = rounds(length), None, rows
+    for i, (k, window) in enumerate(steps):
+        # postings to expect: all positions only of the quarter of the text that is left, or so
+        n, width = (ranges(amount * 2 / (window + 1), 1e6), 6) if k < length else (ranges(amount / 8, 1.5e6), 8)
+        found = K.found_twice(K.sent(left, _round(steps[: i + 1], length), n, width), n, width)
+        if every is None:
+            every = written(K.with_found(rows, found))
+            left = every.filter("open").select("dkey", "tkey", "text", "positions")
+        elif k < length:
+            before, left = left, written(left.drop("positions").join(found.hint("shuffle_hash"), ["dkey", "tkey"]))
+            if i > 1:
+                removed(before)
+    found = written(found)
+    removed(left)
+    some = every.filter("open").drop("positions").join(found.hint("shuffle_hash"), ["dkey", "tkey"], "left").select("dkey", "text", "positions", "copied")
     rest = every.filter("not open").select("dkey", "text", F.lit(None).cast("binary").alias("positions"), "copied")
     return some.unionByName(rest).mapInArrow(lambda b: _results(b, length), "dkey long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").select(real_id(), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
