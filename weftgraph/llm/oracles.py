@@ -35,9 +35,18 @@ dw AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k + 1, k + n), ' ') AS
 m AS (SELECT doc_id, k, n, item FROM dw JOIN iw USING (s, n)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM m)) GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+-- proximity: all words of a window within 15 words, looked for around each occurrence of its rarest word
+c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
+ws AS (SELECT s, list_distinct(string_split(s, ' ')) AS need FROM (SELECT DISTINCT s FROM iw)),
+piv AS (SELECT s, any_value(need) AS need, arg_min(word, (coalesce(c.n, 0), word)) AS word FROM (SELECT s, need, unnest(need) AS word FROM ws) LEFT JOIN c USING (word) GROUP BY s),
+pos AS (SELECT doc_id, w, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+cand AS (SELECT doc_id, s, need, p - greatest(1, p - 14) AS before, list_slice(w, greatest(1, p - 14), p + 14) AS around FROM pos JOIN piv USING (word)),
+close AS (SELECT DISTINCT doc_id, s FROM cand WHERE list_has_all(around, need)
+          AND len(list_filter(range(before + 1), lambda a: list_has_all(list_slice(around, a + 1, a + 15), need))) > 0),
+nt AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near FROM (SELECT DISTINCT doc_id, item FROM close JOIN iw USING (s)) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+       sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(nt.n_near, 0) AS BIGINT) AS n_near, sha256(coalesce(nt.near, '')) AS near_sha256
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN nt USING (doc_id)
 """
 
 SUFFIX = r"""
