@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm._work import NULL_ID, key_columns, real_id, written
+from weftgraph.llm._work import NULL_ID, joined, key_columns, real_id, written
 
 # Fixed patterns.  The letters of assign's key words match in either case.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -94,10 +94,7 @@ def secret_scan(docs: DataFrame, max_owners: int = 2, max_repositories: int = 4,
     # rows without an id are told apart by their texts; what is counted is distinct before one task has a hash
     repository = F.struct("dkey", F.when(F.col("dkey") == NULL_ID, F.col("tkey")).alias("tkey")).alias("repository")
     owners = each.select("hash", "owner", repository).distinct().groupBy("hash").agg(F.count_distinct("owner").alias("n_owners"), F.count_distinct("repository").alias("n_repositories"))
-    # a copied value has as many rows as it has copies: salted, so that no task gets them all
-    salts = 16
-    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    judged = each.withColumn("salt", F.pmod(F.hash("dkey", "start"), F.lit(salts))).join(owners, ["hash", "salt"])
+    judged = joined(each, owners, ["hash"], "n_repositories", "dkey")
     own = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     per_row = judged.groupBy("dkey", "tkey").agg(
         F.collect_set(F.when(own & (F.col("kind") == 3), F.struct("start", "end"))).alias("live"),
