@@ -11,9 +11,9 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def brute(rows, least=10, chars=1):
     lines = [(t or "").split("\n") for _, t, *_ in rows]
     found = defaultdict(set)
-    for i, ls in enumerate(lines):
+    for (d, t, *_), ls in zip(rows, lines, strict=True):
         for x in ls:
-            found[x.strip(WHITE).translate(LOWER)].add(i)
+            found[x.strip(WHITE).translate(LOWER)].add(t if d is None else d)
     gone = {k for k, v in found.items() if len(v) >= least and len(k) >= chars}
     out = []
     for (d, *_), ls in zip(rows, lines, strict=True):
@@ -39,6 +39,23 @@ def test_extra_columns_empty_and_repeats(clashing, docs, rows, empty):
     assert got(line_dedup(docs.union(docs), 12)) == brute(rows + rows, 12)
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, "a\nb\nc"), (1, "a\nb"), (1, "a"), (2, "a\nb"), (3, "b"), (None, "c\nc"), (None, "c\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(line_dedup(df, 3)) == brute(rows, 3)
+    assert {x[2] for x in brute(rows, 3)} == {0, 1, 2}
+
+
+def test_hot_lines_are_dealt_out(spark, monkeypatch):
+    from weftgraph.llm import _work, line_dedup as module
+
+    joined = _work.joined
+    monkeypatch.setattr(module, "joined", lambda *a: joined(*a, few=7))
+    rows = [(i, "hot\n" + ("warm\n" if i % 3 else "") + f"own {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(line_dedup(df)) == brute(rows)
+
+
 def test_keeps_the_columns(clashing, rows):
     df = line_dedup(clashing, keep_columns=True)
     assert df.columns == clashing.columns
