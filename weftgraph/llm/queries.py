@@ -1,10 +1,9 @@
-"""The registered queries of this subpackage; each reads its whole tables."""
+"""The operators' registered queries; each reads its whole tables."""
 
 from __future__ import annotations
 
 import public_tokenizers
 
-import corpus_pipeline
 from weftgraph.llm import line_dedup as line
 from weftgraph.llm import oracles
 from weftgraph.llm.bpe import bpe
@@ -43,7 +42,7 @@ def op5_ngram_jaccard_join(spark, sf_dir: str):
 
 
 def op6_benchmark_decontamination(spark, sf_dir: str):
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("items", "hits")
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("items", "near_items", "hits")
 
 
 def op7_line_dedup(spark, sf_dir: str):
@@ -62,7 +61,7 @@ def op10_quality_rules(spark, sf_dir: str):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_classifier, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_classifier, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules)}
 ORACLES = {
     "op4_substring_dedup": oracles.SUBSTRING,
     "op5_ngram_jaccard_join": oracles.JACCARD,
