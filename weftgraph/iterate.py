@@ -1,41 +1,79 @@
 """Fixed points over edges: closure, ranked breadth-first search, strong components.
 
-Each round's result is checkpointed to ``spark.checkpoint.dir``, so plans stay short and a lost executor
-costs a reread.  Only counts come to the driver.
+Each round's result is a table in ``spark.checkpoint.dir``, so plans stay short, know the sizes of what they
+join, and a lost executor costs a reread.  Edges are written once, before the first round.  What was found
+before is kept level by level: a round adds to it and rewrites none of it, but for every tenth, which
+makes one table of all levels.  Only counts come to the driver.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.shared import removed
+from weftgraph.shared import written as settled
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder of spark.checkpoint.dir (a local one if none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        conf = sc.getConf().get("spark.checkpoint.dir")
-        if conf is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(conf or tempfile.mkdtemp(prefix="weftgraph-"))
-    return df.checkpoint(eager=True)
+#: Levels that are joined one by one before they become one table.
+LEVELS = 10
+
+
+class Levels:
+    """What rounds have found so far."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    @property
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+    def add(self, found: DataFrame) -> None:
+        self.parts.append(found)
+        if len(self.parts) > LEVELS:
+            # the last is the front of the next round and stays
+            old, self.parts = self.parts[:-1], [settled(reduce(DataFrame.unionByName, self.parts[:-1])), found]
+            for x in old:
+                removed(x)
+
+
+def plain(edges: DataFrame) -> DataFrame:
+    """source, target, once each, as a table."""
+    return settled(edges.select("source", "target").distinct())
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """id, depth of everything that ``seeds`` (id) reach over ``edges`` (source, target)."""
-    e = edges.select("source", "target").distinct()
+    e = plain(edges)
     front = settled(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = front, 0
+    seen, depth = Levels(front), 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        new = front.select(F.col("id").alias("source")).join(e, "source").select(F.col("target").alias("id")).distinct()
-        front = settled(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        new = e.join(front.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
+        front = settled(new.join(seen.all.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = settled(seen.unionByName(front))
-    return seen
+        seen.add(front)
+    return seen.all
+
+
+def numbered(df: DataFrame, order: list[Column], name: str, after: int = 0) -> tuple[DataFrame, int]:
+    """``df`` with the place of each row in ``order`` (from ``after`` + 1), and how many rows there are.
+
+    Rows are sorted by range over the cluster; a part's places start where the rows of the parts before it
+    end, of which only counts come to the driver.
+    """
+    rows = settled(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = sorted((r.part, r.n) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    base, start = after, []
+    for p, n in counts:
+        start += [F.lit(p).cast("long"), F.lit(base).cast("long")]
+        base += n
+    first = F.element_at(F.create_map(*start), part) if start else F.lit(after).cast("long")
+    return rows.withColumn(name, first + within + 1).drop("_at"), base - after
 
 
 def ranked_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, visit_limit: int | None = None) -> DataFrame:
@@ -43,25 +81,25 @@ def ranked_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None,
 
     ``seeds`` (id, ord) enter by ord; a vertex is found by the first of its predecessors to be taken from
     the queue, and enters by (that predecessor's rank, id).  At most ``visit_limit`` vertices are visited,
-    cut in that order.  The ranks of a level come from one sort of its own vertices.
+    cut in that order.
     """
-    e = edges.select("source", "target").distinct()
+    e = plain(edges)
     first = seeds.groupBy("id").agg(F.min("ord").alias("ord"))
-    front = first.select("id", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("ord", "id")).cast("long").alias("rank"), F.lit(None).cast("string").alias("pred"))
-    front = settled(front if visit_limit is None else front.filter(F.col("rank") <= visit_limit))
-    seen, depth, n = front, 0, front.count()
-    while (max_depth is None or depth < max_depth) and (visit_limit is None or n < visit_limit):
+    front, n = numbered(first.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred"), "ord"), [F.col("ord"), F.col("id")], "rank")
+    within = lambda df: df if visit_limit is None else df.filter(F.col("rank") <= visit_limit)
+    columns = ("id", "depth", "rank", "pred")
+    front = within(front).select(*columns)
+    seen, depth = Levels(front), 0
+    while n and (max_depth is None or depth < max_depth) and (visit_limit is None or n < visit_limit):
         depth += 1
-        hit = front.select(F.col("id").alias("source"), F.col("rank").alias("r")).join(e, "source").groupBy(F.col("target").alias("id")).agg(F.min(F.struct("r", "source")).alias("p"))
-        new = hit.join(seen.select("id"), "id", "left_anti")
-        new = new.select("id", F.lit(depth).alias("depth"), (F.row_number().over(Window.orderBy("p.r", "id")) + F.lit(n)).cast("long").alias("rank"), F.col("p.source").alias("pred"))
-        front = settled(new if visit_limit is None else new.filter(F.col("rank") <= visit_limit))
-        size = front.count()
+        hit = e.join(front.select(F.col("id").alias("source"), F.col("rank").alias("r")), "source").groupBy(F.col("target").alias("id")).agg(F.min(F.struct("r", "source")).alias("p"))
+        new = hit.join(seen.all.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("p.source").alias("pred"), F.col("p.r").alias("r"))
+        front, size = numbered(new, [F.col("r"), F.col("id")], "rank", n)
         if not size:
             break
-        n += size
-        seen = settled(seen.unionByName(front))
-    return seen
+        front, n = within(front).select(*columns), n + size
+        seen.add(front)
+    return seen.all
 
 
 def paths(found: DataFrame, ends: DataFrame) -> DataFrame:
@@ -76,18 +114,18 @@ def paths(found: DataFrame, ends: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """source, target, depth: the least number of steps of each pair that a path joins."""
-    e = edges.select("source", "target").distinct()
+    e = plain(edges)
     front = e if starts is None else e.join(starts.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
     front = settled(front.withColumn("depth", F.lit(1)))
-    seen, depth = front, 1
+    seen, depth = Levels(front), 1
     while max_depth is None or depth < max_depth:
         depth += 1
         new = front.select("source", F.col("target").alias("mid")).join(e.select(F.col("source").alias("mid"), "target"), "mid").select("source", "target").distinct()
-        front = settled(new.join(seen.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = settled(new.join(seen.all.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            return seen
-        seen = settled(seen.unionByName(front))
-    return seen
+            break
+        seen.add(front)
+    return seen.all
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -97,7 +135,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     that reaches a vertex is its colour; what can reach the colour's own vertex within the colour is one
     component and leaves.  Linear in the edges per step; no pairs of vertices are made.
     """
-    e = settled(edges.select("source", "target").distinct())
+    e = plain(edges)
     done = None
     while True:
         while True:  # trim

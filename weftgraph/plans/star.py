@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.graph import Graph
+from weftgraph.shared import modified, written
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages")
+GRAPH_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = (*GRAPH_TABLES, "events", "pages")
 
 PARTS = {
     "nodes": """
@@ -95,16 +97,30 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("id", "name", "kind", "module", "path", "line", "visibility", listed("modifiers"), listed("annotations"), listed("supers"), "synthesized").withColumnRenamed("supers", "supertypes").withColumn("attributes", F.array().cast("array<string>")).withColumn("enum_constants", F.lit(None).cast("array<string>"))
 
 
+_kept: dict[tuple, Graph] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, edges) -> Graph:
+    """The graph of ``edges()``, made canonical and written once a session for each state of the tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, tuple(modified(spark, f"{sf_dir}/{t}.parquet") for t in GRAPH_TABLES))
+    if key not in _kept:
+        e = edges().groupBy("source", "target", "kind", "origin").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("line")).alias("lines"))
+        g = Graph.of(nodes(spark, sf_dir), e)
+        _kept[key] = Graph(written(g.nodes), written(g.edges))
+    return _kept[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    e = frame(spark, sf_dir, "raw_edges")
-    e = e.groupBy("source", "target", "kind", "origin").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("line")).alias("lines"))
-    return Graph.of(nodes(spark, sf_dir), e)
+    return kept(spark, sf_dir, "now", lambda: frame(spark, sf_dir, "raw_edges"))
 
 
 def before(spark: SparkSession, sf_dir: str, date: str = "1997-01-01") -> Graph:
     """The graph of the line items shipped before a date: an earlier revision."""
-    sql = PARTS["raw_edges"]
-    tables = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
-    tables["lineitem"] = tables["lineitem"].filter(F.col("l_shipdate") < F.lit(date).cast("timestamp"))
-    e = spark.sql(sql, **tables)
-    return Graph.of(nodes(spark, sf_dir), e.groupBy("source", "target", "kind", "origin").agg(F.sum("weight").alias("weight"), F.array_sort(F.collect_set("line")).alias("lines")))
+
+    def edges():
+        sql = PARTS["raw_edges"]
+        tables = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in sql}
+        tables["lineitem"] = tables["lineitem"].filter(F.col("l_shipdate") < F.lit(date).cast("timestamp"))
+        return spark.sql(sql, **tables)
+
+    return kept(spark, sf_dir, date, edges)
