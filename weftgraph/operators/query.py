@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph import schema as S
 from weftgraph.graph import Graph
-from weftgraph.iterate import paths, ranked_bfs
+from weftgraph.iterate import paths, ranked_bfs, settled
 from weftgraph.operators.reach import reach_paths, usage
 
 
@@ -35,9 +35,9 @@ def neighbors(g: Graph, subject: str, depth: int = 1, limit: int = 50, incoming:
 
 
 def call_references(g: Graph, subject: str) -> DataFrame:
-    """path, line of byte-code calls of ``subject``."""
+    """source, path, line of byte-code calls of ``subject``."""
     e = g.edges.filter((F.col("target") == subject) & (F.col("kind") == "CALL") & (F.col("origin") == "BYTECODE"))
-    return e.join(g.nodes.select(F.col("id").alias("source"), "path"), "source").filter(F.col("path") != "").select("path", F.explode("lines").alias("line")).distinct()
+    return e.join(g.nodes.select(F.col("id").alias("source"), "path"), "source").filter(F.col("path") != "").select("source", "path", F.explode("lines").alias("line")).distinct()
 
 
 def states(g: Graph, evidence: DataFrame, reached: DataFrame) -> DataFrame:
@@ -59,12 +59,94 @@ def why_states(g: Graph, evidence: DataFrame, reached: DataFrame) -> DataFrame:
     return out.select("id", state.alias("state"), "reason")
 
 
+def _camel(kind):
+    """Names of kinds as documents show them."""
+    words = F.split(F.lower(kind), "_")
+    return F.concat(F.get(words, F.lit(0)), F.array_join(F.transform(F.slice(words, 2, 9), lambda w: F.initcap(w)), ""))
+
+
+def _near(g: Graph, subject: str, depth: int, limit: int, incoming: bool, name: str) -> DataFrame:
+    """One row: the neighbours (by rank) as an array ``name``, and whether there are more."""
+    lines = call_references(g, subject).groupBy("source").agg(F.array_sort(F.collect_set("line")).alias("lines")) if incoming else None
+    near = neighbors(g, subject, depth, limit, incoming).join(g.nodes.select("id", "name", "path"), "id")
+    near = near.join(lines.withColumnRenamed("source", "id"), "id", "left") if incoming else near.withColumn("lines", F.lit(None).cast("array<int>"))
+    item = F.struct("rank", "id", S.qualified_name(F.col("id"), F.col("name")).alias("qualified_name"), "depth", F.array_sort(F.array_distinct(F.transform("kinds", _camel))).alias("kinds"), "path", "lines")
+    rows = F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*(x[c].alias(c) for c in ("id", "qualified_name", "depth", "kinds", "path", "lines"))))
+    return near.agg(rows.alias(name), F.coalesce(F.bool_or("truncated"), F.lit(False)).alias(f"{name}_truncated"))
+
+
+def symbol_document(g: Graph, evidence: DataFrame, reached: DataFrame, requested: str, limitations: list[str] = (), depth: int = 1, limit: int = 50, suppressed: DataFrame | None = None) -> DataFrame:
+    """One row, document: everything about one symbol as JSON, or that there is none, or the candidates.
+
+    Neighbours (used_by with the lines of their calls, depends_on) and members are cut at ``limit``, and
+    truncated says which were; the path from evidence is given for what is reached without evidence of
+    its own.  ``suppressed`` (id) are findings that a baseline has.
+    """
+    spark, matches = g.nodes.sparkSession, settled(symbol_match(g, requested).select("id", "name", "kind", "module", "path", "line", "visibility", "qualified_name"))
+    n = matches.count()
+    head = [F.lit(requested).alias("requested"), F.lit("symbol").alias("level"), F.array(*map(F.lit, sorted(set(limitations)))).cast("array<string>").alias("limitations")]
+    if n != 1:
+        found = F.transform(F.array_sort(F.collect_list(F.struct("id", "qualified_name"))), lambda x: F.struct(x["qualified_name"].alias("qualified_name"), x["id"].alias("id")))
+        return matches.agg(found.alias("candidates")).select(F.to_json(F.struct(F.lit("ambiguous" if n else "notFound").alias("status"), *head, "candidates")).alias("document"))
+    subject = matches.first().id
+    one = matches.select(F.struct(*matches.columns).alias("subject"))
+    state = states(g, evidence, reached).filter(F.col("id") == subject).select("state", "reason")
+    ends = spark.createDataFrame([(subject,)], "id string")
+    path = reach_paths(g, evidence, ends).select(F.posexplode("path").alias("at", "id")).join(g.nodes.select("id", "name"), "id")
+    path = path.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", S.qualified_name(F.col("id"), F.col("name")).alias("q")))), lambda x: x["q"]).alias("path"))
+    part = g.edges.filter((F.col("kind") == "MEMBER") & (F.col("source") == subject)).select(F.col("target").alias("id")).join(g.nodes.select("id", "name"), "id")
+    item = F.struct("id", S.qualified_name(F.col("id"), F.col("name")).alias("qualified_name"))
+    part = part.orderBy("id").limit(limit + 1).agg(F.array_sort(F.collect_list(item)).alias("m")).select(F.slice("m", 1, limit).alias("members"), (F.size("m") > limit).alias("members_truncated"))
+    owner = g.edges.filter((F.col("kind") == "MEMBER") & (F.col("target") == subject)).select(F.col("source").alias("id")).join(g.nodes.select("id", "name"), "id").agg(F.min(item).alias("owner"))
+    known = suppressed.filter(F.col("id") == subject).agg((F.count("*") > 0).alias("known")) if suppressed is not None else spark.createDataFrame([(False,)], "known boolean")
+    # one row each
+    row = one
+    for part_ in (state, path, _near(g, subject, depth, limit, True, "used_by"), _near(g, subject, depth, limit, False, "depends_on"), part, owner, known):
+        row = row.crossJoin(F.broadcast(part_))
+    reachability = F.struct("state", "reason", F.when(F.col("reason").isNull() & (F.size("path") > 0), F.col("path")).alias("path"), ((F.col("state") == "unreachable") & F.col("known")).alias("suppressed_by_baseline"))
+    cut = F.struct(F.col("used_by_truncated").alias("used_by"), F.col("depends_on_truncated").alias("depends_on"), F.col("members_truncated").alias("members"))
+    result = F.struct("subject", reachability.alias("reachability"), "used_by", "depends_on", "members", "owner", cut.alias("truncated"))
+    return row.select(F.to_json(F.struct(F.lit("found").alias("status"), *head, result.alias("result"))).alias("document"))
+
+
 def why(g: Graph, evidence: DataFrame, subject: str) -> DataFrame:
     """id, path from evidence to ``subject``."""
     ends = g.nodes.sparkSession.createDataFrame([(subject,)], "id string")
     return reach_paths(g, evidence, ends)
 
 
+def why_document(g: Graph, evidence: DataFrame, reached: DataFrame, requested: str, limitations: list[str] = (), callers: int = 100) -> DataFrame:
+    """ord, line: the answer to why ``requested`` is kept, as tab-separated lines.
+
+    Status and candidates unless one node matches; else the subject, its state, its evidence, a path from
+    evidence if it has none of its own, and its first ``callers`` by id with the kinds of their edges.
+    """
+    matches = settled(symbol_match(g, requested).select("id", "kind", "path", "line", "qualified_name"))
+    n, spark = matches.count(), g.nodes.sparkSession
+    line = lambda *parts: F.concat_ws("\t", *(F.coalesce(p, F.lit("")) if not isinstance(p, str) else F.lit(p) for p in parts)).alias("line")
+    fixed = lambda rows: spark.createDataFrame(rows, "ord int, line string")
+    if n != 1:
+        out = fixed([(0, f"status\t{'ambiguous' if n else 'notFound'}"), (1, f"requested\t{requested}")])
+        return out.unionByName(matches.select(F.lit(2).alias("ord"), line("candidate", F.col("qualified_name"), F.col("id"))))
+    subject = matches.first().id
+    where = F.when(F.col("path").isNotNull(), F.concat_ws(":", "path", F.col("line").cast("string"))).otherwise("-")
+    out = matches.select(F.lit(0).alias("ord"), line("subject", F.col("id"), F.col("qualified_name"), _camel(F.col("kind")), where))
+    state = settled(why_states(g, evidence, reached).filter(F.col("id") == subject))
+    out = out.unionByName(state.select(F.lit(1).alias("ord"), line("state", F.col("state"))))
+    own = evidence.filter(F.col("node_id") == subject)
+    out = out.unionByName(own.select(F.lit(2).alias("ord"), line("reason", F.col("reason"), where)))
+    if state.first().state == "reachable":
+        walk = why(g, evidence, subject).select(F.posexplode("path").alias("at", "id")).join(g.nodes.select("id", "name"), "id")
+        walk = walk.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", S.qualified_name(F.col("id"), F.col("name")).alias("q")))), lambda x: x["q"]).alias("path")).filter(F.size("path") > 0)
+        out = out.unionByName(walk.select(F.lit(3).alias("ord"), line("path", F.array_join("path", " -> "))))
+    used = settled(g.edges.filter(S.is_usage(F.col("kind")) & (F.col("target") == subject)).groupBy(F.col("source").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(_camel(F.col("kind")))), ",").alias("kinds")))
+    many = used.count()
+    shown = used.orderBy("id").limit(callers).join(g.nodes.select("id", "name"), "id")
+    out = out.unionByName(fixed([(4, f"usedBy\t{many}")])).unionByName(shown.select(F.lit(5).alias("ord"), line("caller", S.qualified_name(F.col("id"), F.col("name")), F.col("kinds"))))
+    tail = [(6, "callers-truncated\ttrue")] * (many > callers) + [(7, f"limitation\t{x}") for x in sorted(limitations)]
+    return out.unionByName(fixed(tail))
+
+
 def top_callers(g: Graph, n: int = 5) -> DataFrame:
     """target, rank, caller, weight: the first ``n`` callers of each target by id, a report of its own."""
     e = g.edges.filter("kind = 'CALL'").groupBy("target", "source").agg(F.sum("weight").alias("weight"))
