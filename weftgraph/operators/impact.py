@@ -66,13 +66,19 @@ def relation(kinds):
     return F.when(F.coalesce(F.size(kinds), F.lit(0)) <= 0, "UNKNOWN").when(F.exists(kinds, lambda k: k.isin(*STRUCTURAL)), "STRUCTURAL").when(F.size(kinds) == 1, "DIRECT").otherwise("TRANSITIVE")
 
 
+# Source sets that hold tests, and those that hold what is shipped.
+TEST_SETS = ("test", "androidTest", "testFixtures", "integrationTest")
+PRODUCTION_SETS = ("main", "production", "prod", "debug", "release")
+
+
 def test_status(path):
-    """TEST, PRODUCTION or UNKNOWN by the source set; not the rule of ``is_test_path``."""
-    p = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
-    at = F.array_position(p, "src")
-    root = F.when(at > 0, F.get(p, at.cast("int")))
-    test = F.coalesce(root.isin("test", "androidTest", "testFixtures", "integrationTest"), F.lit(False)) | F.get(p, F.lit(0)).isin("test", "tests")
-    return F.when(test, "TEST").when(root.isin("main", "production", "prod", "debug", "release"), "PRODUCTION").otherwise("UNKNOWN")
+    """TEST, PRODUCTION or UNKNOWN by the source set (the folder below the first src) or a test folder at the
+    top; not the rule of ``is_test_path``."""
+    unix = F.replace(path, F.lit("\\"), F.lit("/"))
+    source_set = F.nullif(F.regexp_extract(unix, r"^(?:(?!src/)[^/]*/)*?src/([^/]+)", 1), F.lit(""))
+    names = {True: TEST_SETS, False: PRODUCTION_SETS}
+    top = unix.rlike("^tests?(/|$)")
+    return F.when(top | source_set.isin(*names[True]), "TEST").when(source_set.isin(*names[False]), "PRODUCTION").otherwise("UNKNOWN")
 
 
 def is_test_path(path):

@@ -91,16 +91,37 @@ def keep_rules(text: str, path: str = "rules.pro") -> list[dict]:
     return out
 
 
+# One-letter names of primitive types in descriptors.
+_PRIMITIVES = {"boolean": "Z", "byte": "B", "char": "C", "short": "S", "int": "I", "long": "J", "float": "F", "double": "D", "void": "V"}
+
+
+def _descriptor(kind: str) -> str | None:
+    """Of a Java type; None for patterns."""
+    base, _, dims = kind.partition("[")
+    if re.search(r"[*?%]|\.\.\.", kind):
+        return None
+    return "[" * (1 if dims else 0) * kind.count("[") + (_PRIMITIVES.get(base) or f"L{base.replace('.', '/')};")
+
+
 def _member(text: str) -> dict:
     if text == "*":
         return {"name": "*"}
+    access: dict[str, bool] = {}
+    while m := re.match(r"(!?)(public|private|protected|static|final|abstract|native|synchronized|transient|volatile)\s+", text):
+        access[m[2]] = not m[1]
+        text = text[m.end() :]
+    more = {"access": access} if access else {}
     if text in ("<methods>", "<fields>"):
-        return {"name": "*", "kind": ["METHOD", "FUNCTION"] if text == "<methods>" else ["FIELD", "PROPERTY"]}
-    if text.startswith("<init>"):
-        return {"name": "<init>", "kind": ["CONSTRUCTOR"]}
-    call = re.search(r"([\w$*?]+)\s*\(.*\)$", text)
-    name = call[1] if call else text.split()[-1]
-    return {"name": name, "kind": ["METHOD", "FUNCTION"] if call else ["FIELD", "PROPERTY"]}
+        return {"name": "*", "kind": ["METHOD", "FUNCTION"] if text == "<methods>" else ["FIELD", "PROPERTY"], **more}
+    call = re.fullmatch(r"(?:(?P<type>[\w.$*?%\[\]]+)\s+)?(?P<name><init>|[\w$*?]+)\s*\((?P<args>.*)\)", text)
+    if call:
+        kind = ["CONSTRUCTOR"] if call["name"] == "<init>" else ["METHOD", "FUNCTION"]
+        types = [_descriptor(x.strip()) for x in call["args"].split(",") if x.strip()]
+        back = _descriptor(call["type"]) if call["type"] else "V"
+        if None not in types and back is not None and (call["type"] or call["name"] == "<init>"):
+            more["descriptor"] = f"({''.join(types)}){back}"
+        return {"name": call["name"], "kind": kind, **more}
+    return {"name": text.split()[-1], "kind": ["FIELD", "PROPERTY"], **more}
 
 
 def baseline(spark: SparkSession, text: str) -> DataFrame:
