@@ -104,13 +104,13 @@ def _descriptor(kind: str) -> str | None:
 
 
 def _member(text: str) -> dict:
-    if text == "*":
-        return {"name": "*"}
     access: dict[str, bool] = {}
     while m := re.match(r"(!?)(public|private|protected|static|final|abstract|native|synchronized|transient|volatile)\s+", text):
         access[m[2]] = not m[1]
         text = text[m.end() :]
     more = {"access": access} if access else {}
+    if text == "*":
+        return {"name": "*", **more}
     if text in ("<methods>", "<fields>"):
         return {"name": "*", "kind": ["METHOD", "FUNCTION"] if text == "<methods>" else ["FIELD", "PROPERTY"], **more}
     call = re.fullmatch(r"(?:(?P<type>[\w.$*?%\[\]]+)\s+)?(?P<name><init>|[\w$*?]+)\s*\((?P<args>.*)\)", text)
