@@ -52,6 +52,11 @@ def affected(g: Graph, changed: DataFrame, max_depth: int = 100, visit_limit: in
     return ranked_bfs(reverse_edges(g, changed), start, max_depth, visit_limit)
 
 
+def affected_ids(g: Graph, changed: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """id, depth of what a change can reach, where neither order nor witnesses are asked for."""
+    return bfs(reverse_edges(g, changed), changed.select("id").distinct().join(g.nodes.select("id"), "id", "left_semi"), max_depth)
+
+
 def witnesses(g: Graph, changed: DataFrame, found: DataFrame) -> DataFrame:
     """id, path (from a changed node), kinds of its steps, for everything that is affected."""
     walk = settled(paths(found, found.filter("depth > 0").select("id")))

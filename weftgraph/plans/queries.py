@@ -171,15 +171,15 @@ def undefined_distance(spark, d):
     return A.undefined_distance(A.martin_metrics(star.graph(spark, d)))
 
 
-# a sparse unit graph with cycles
-SPARSE = """SELECT cn.n_name AS source, sn.n_name AS target, CAST(count(*) AS BIGINT) AS weight FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
-JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey JOIN {nation} sn ON s_nationkey = sn.n_nationkey
-WHERE l_quantity >= 50 AND l_discount >= 0.09 AND o_orderpriority = '1-URGENT' AND cn.n_nationkey <> sn.n_nationkey GROUP BY 1, 2"""
+# a sparse graph with cycles, of all line items: each part with the part that most often follows it in an order
+SPARSE = """SELECT source, target, weight FROM (SELECT source, target, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM (
+  SELECT 'part/' || a.l_partkey AS source, 'part/' || b.l_partkey AS target, CAST(count(*) AS BIGINT) AS weight FROM {lineitem} a JOIN {lineitem} b
+  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)) WHERE r = 1"""
 CLOSURE = {"sparse": star.filled(SPARSE), "closure": "SELECT source, target FROM sparse UNION SELECT c.source, s.target FROM closure c JOIN sparse s ON s.source = c.target"}
 
 
 def _sparse(spark, d):
-    return spark.sql(SPARSE, **{t: star.table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier", "nation")})
+    return spark.sql(SPARSE, **{t: star.table(spark, d, t) for t in ("lineitem",)})
 
 
 @query("SELECT a.source AS id, min(a.target) AS component FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source GROUP BY a.source", CLOSURE)
@@ -200,7 +200,7 @@ def strong_components(spark, d):
     CLOSURE
     | {
         "starts": "SELECT DISTINCT min(a.target) AS start FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source GROUP BY a.source",
-        "walks": "SELECT start, start AS at, 0 AS n FROM starts UNION SELECT w.start, s.target, w.n + 1 FROM walks w JOIN sparse s ON s.source = w.at WHERE w.n < 12",
+        "walks": "SELECT start, start AS at, 0 AS n FROM starts UNION SELECT w.start, s.target, w.n + 1 FROM walks w JOIN sparse s ON s.source = w.at WHERE w.n < 2000",
     },
 )
 def cycles(spark, d):
@@ -409,12 +409,19 @@ def symbol_match(spark, d):
     return Q.symbol_match(g, "nation.7").select("id", "name", F.concat_ws(".", "module", "qualified_name").alias("full_name"))
 
 
-@query(
-    "SELECT id, CAST(min(depth) AS INT) AS depth FROM near WHERE depth > 0 AND id <> 'class:nation/7' GROUP BY id",
-    {"near": f"SELECT 'class:nation/7' AS id, 0 AS depth UNION SELECT e.source, n.depth + 1 FROM near n JOIN edges e ON e.target = n.id WHERE e.{USAGE} AND n.depth < 2"},
-)
+NEAR = {
+    "used": f"SELECT DISTINCT source, target FROM edges WHERE {USAGE}",
+    "first_level": "SELECT source AS id, 'class:nation/7' AS pred, row_number() OVER (ORDER BY source) AS rank FROM used WHERE target = 'class:nation/7' AND source <> target",
+    "second_level": """SELECT id, l.id_ AS pred, row_number() OVER (ORDER BY p, id) + (SELECT count(*) FROM first_level) AS rank FROM (
+  SELECT u.source AS id, min(l.rank) AS p FROM used u JOIN first_level l ON u.target = l.id WHERE u.source <> 'class:nation/7' AND u.source NOT IN (SELECT id FROM first_level) GROUP BY u.source)
+JOIN (SELECT id AS id_, rank AS rank_ FROM first_level) l ON l.rank_ = p""",
+    "levels": "SELECT id, pred, rank, 1 AS depth FROM first_level UNION ALL SELECT id, pred, rank, 2 FROM second_level",
+}
+
+
+@query(f"SELECT id, depth, rank, (SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM edges e WHERE e.source = l.id AND e.target = l.pred AND {USAGE}) AS kinds, FALSE AS truncated FROM levels l", NEAR)
 def neighbors(spark, d):
-    return Q.neighbors(star.graph(spark, d), "class:nation/7", depth=2, limit=10**6).select("id", "depth")
+    return Q.neighbors(star.graph(spark, d), "class:nation/7", depth=2, limit=10**6).withColumn("kinds", F.array_join("kinds", ","))
 
 
 STATES = REACHED | {
@@ -479,7 +486,7 @@ def impact_contracts(spark, d):
 @query("SELECT id FROM hit", IMPACT)
 def impact_reverse(spark, d):
     g = star.graph(spark, d)
-    return I.affected(g, _changed(g), visit_limit=None).select("id")
+    return I.affected_ids(g, _changed(g)).select("id")
 
 
 @query(
@@ -609,7 +616,7 @@ def edge_inherited_call(spark, d):
 
 DEPS = {
     "declared": "SELECT DISTINCT 'com.shop:' || p_brand || ':1' AS coordinate, CASE WHEN p_brand LIKE '%1' THEN 'api' WHEN p_brand LIKE '%2' THEN 'runtimeOnly' WHEN p_brand LIKE '%3' THEN 'testImplementation' ELSE 'implementation' END AS scope, p_brand || '/' || p_type AS artifact FROM {part} WHERE p_size < 40",
-    "classes": "SELECT p_brand || '/' || p_type AS artifact, 'part/' || p_partkey AS class FROM {part} WHERE p_partkey % 2 = 0",
+    "classes": "SELECT p_brand || '/' || p_type AS artifact, 'part/' || p_partkey AS class FROM {part}",
     "used": "SELECT DISTINCT 'part/' || l_partkey AS class FROM {lineitem} WHERE l_quantity >= 50",
     "api": "SELECT DISTINCT 'part/' || l_partkey AS class FROM {lineitem} WHERE l_quantity >= 50 AND l_returnflag = 'R'",
 }
@@ -639,12 +646,24 @@ def dep_advice(spark, d):
     return a.select("coordinate", "scope", "suggested", F.array_join("evidence", ",").alias("evidence"))
 
 
-@query()
+SUPPLIED = {
+    "resolved": "SELECT DISTINCT 'com.supply:' || s_nationkey || ':2' AS coordinate, 'implementation' AS scope, 'supply/' || s_nationkey AS artifact FROM {supplier}",
+    "supply": "SELECT 'supply/' || s_nationkey AS artifact, 'supplier/' || s_suppkey AS class FROM {supplier}",
+    "supplied": "SELECT 'supplier/' || l_suppkey AS class, max(CASE WHEN l_returnflag = 'R' AND l_tax >= 0.08 THEN 1 ELSE 0 END) AS exposed FROM {lineitem} WHERE l_discount >= 0.09 GROUP BY 1",
+}
+_PART = lambda c: f"length({c}) || ':' || {c}"
+
+
+@query(f"""SELECT coordinate, 'undeclared-dependency' AS rule, suggested, 'dependencies-v1|21:undeclared-dependency' || {_PART('coordinate')} || '0:' || {_PART('suggested')} || evidence AS fingerprint FROM (
+  SELECT coordinate, CASE WHEN max(exposed) > 0 THEN 'api' ELSE 'implementation' END AS suggested, string_agg({_PART('class')}, '' ORDER BY class) AS evidence
+  FROM resolved JOIN supply USING (artifact) JOIN supplied USING (class) GROUP BY coordinate) WHERE CAST(split_part(coordinate, ':', 2) AS INT) >= 5""", {k: star.filled(v) for k, v in SUPPLIED.items()})
 def dep_review(spark, d):
     f = _deps(spark, d)
-    resolved = f["classes"].select(F.concat(F.lit("com.other:"), F.split_part("artifact", F.lit("/"), F.lit(1)), F.lit(":2")).alias("coordinate"), F.lit("implementation").alias("scope"), "artifact").distinct()
-    a = D.fingerprint(D.advice(f["declared"], resolved, f["classes"], f["used"], f["api"], f["used"].limit(0)))
-    return D.review(a.drop("fingerprint"), a.filter("rule = 'undeclared-dependency'").select("fingerprint"), a.limit(0).select("fingerprint")).select("coordinate", "rule", "suggested", "fingerprint")
+    g = {k: spark.sql(v, **{t: star.table(spark, d, t) for t in ("supplier", "lineitem") if f"{{{t}}}" in v}) for k, v in SUPPLIED.items()}
+    a = D.advice(f["declared"], g["resolved"], f["classes"].unionByName(g["supply"]), f["used"].unionByName(g["supplied"].select("class")), f["api"].unionByName(g["supplied"].filter("exposed = 1").select("class")), f["used"].limit(0))
+    a = a.filter("rule = 'undeclared-dependency'")
+    known = D.fingerprint(a).filter(F.split_part("coordinate", F.lit(":"), F.lit(2)).cast("int") < 5).select("fingerprint")
+    return D.review(a, known, known.limit(0)).select("coordinate", "rule", "suggested", "fingerprint")
 
 
 # sinks
