@@ -1,6 +1,8 @@
+import math
 import re
 from collections import Counter
 
+from weftgraph.llm import quality_rules as Q
 from weftgraph.llm.quality_rules import quality_rules
 
 BASE = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -79,3 +81,62 @@ def test_few_rows_of_a_language_have_their_own_reference(spark, docs):
     found = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, docs.schema)).collect()}
     assert len(found) == 120 and all(x.kept for x in found.values())
     assert all(found[i].word_distance < 0.4 for i in range(100, 120))
+
+
+def histograms(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = lambda chars: sum(c in chars for c in text)
+    upper, digits, marks, symbols = n("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), n("0123456789"), n(".,;:!?'\"()-"), n("#*$%&|<>")
+    white = len(text) - sum(map(len, words))
+    common = [sum(w == c for w in words) for c in Q.COMMON]
+    return [len(text) - upper - digits - marks - symbols - white, upper, digits, marks, symbols, white, len(text.encode()) - len(text)], common + [len(words) - sum(common)]
+
+
+def distance(a, b):
+    if not sum(a) or not sum(b):
+        return 1.0
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    return math.sqrt(min(1, max(0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in zip(p, q, strict=True)) / 2)))
+
+
+def judged(rows):
+    """doc_id -> class distance, word distance, kept: by the definitions, one row after another."""
+    cells = {i: histograms(t or "") for i, (_, t, *_) in enumerate(rows)}
+    sums = {}
+    for i, (_, t, lang, *_) in enumerate(rows):
+        if brute(t)[0] >= 50:
+            for of in (lang, ...):
+                have = sums.setdefault(of, [[0] * 7, [0] * (len(Q.COMMON) + 1)])
+                sums[of] = [[a + b for a, b in zip(x, y, strict=True)] for x, y in zip(have, cells[i], strict=True)]
+    every = sums.get(..., [[0] * 7, [0] * (len(Q.COMMON) + 1)])
+    share = Q.PRIOR_WORDS / max(1, sum(every[1]))
+    out = {}
+    for i, (d, t, lang, *_) in enumerate(rows):
+        n, *_, failed = brute(t)
+        own = sums.get(lang, [[0] * 7, [0] * (len(Q.COMMON) + 1)])
+        ref = every if lang is None else [[a + share * b for a, b in zip(x, y, strict=True)] for x, y in zip(own, every, strict=True)]
+        by_class, by_word = distance(cells[i][0], ref[0]), distance(cells[i][1][:-1], ref[1][:-1])
+        hits, expected = n - cells[i][1][-1], n * sum(ref[1][:-1]) / max(1, sum(ref[1]))
+        usual = max(hits, expected) < Q.LEAST_COMMON or (by_word <= 0.7 and 0.2 * expected <= hits <= expected / 0.2)
+        out[d] = (by_class, by_word, not failed and (n < 50 or (by_class <= 0.25 and usual)))
+    return out
+
+
+def test_distances_and_verdict_by_brute_force(spark, docs):
+    import random
+
+    r = random.Random(8)
+    english, german = "the of and to in is was for".split(), "der die und das den von ist mit".split()
+    nouns = "stone river hill Straße été 42 A-B (x) café".split()
+    rows = []
+    for i in range(120):
+        common = (english, german, nouns)[i % 3]
+        n = r.choice([0, 8, 30, 49, 50, 51, 120, 300])
+        text = " ".join(r.choice(common if r.random() < 0.4 else nouns) + "#" * (i % 7 == 0) for _ in range(n))
+        rows.append((i, text if i % 40 else None, ("en", "de", None, "xx")[i % 4], "s", 0))
+    expected = judged(rows)
+    assert 5 < sum(k for *_, k in expected.values()) < 110
+    for x in quality_rules(spark.createDataFrame(rows, docs.schema).repartition(3)).collect():
+        by_class, by_word, kept = expected[x.doc_id]
+        assert abs(x.class_distance - by_class) < 1e-8 and abs(x.word_distance - by_word) < 1e-8 and x.kept == kept, x

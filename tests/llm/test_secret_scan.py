@@ -70,3 +70,53 @@ def test_many_rows_of_one_owner_are_copies(spark):
     for r in found:
         few = r.doc_id is not None and r.doc_id >= 100
         assert (r.n_live, r.n_copied, r.spans != "") == ((1, 0, True) if few else (0, 1, False))
+
+
+def judged(rows, max_owners=2, max_repositories=4, least=12):
+    """Per row: live spans and n_live, n_copied - counted by hand over all rows."""
+    token = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+    owners, documents, values = {}, {}, []
+    for d, t, _, source, _ in rows:
+        mine = []
+        known = []
+        for order, (kind, p) in enumerate(PATTERNS.items()):
+            for m in p.finditer(t or ""):
+                if len(m.group(2 if kind == "assign" else 0)) >= LEAST[kind]:
+                    known.append(m.span())
+                    mine.append((order, *m.span(), m.group(2 if kind == "assign" else 0)))
+        for m in token.finditer(t or ""):
+            v = m.group()
+            if re.search("[0-9]", v) and re.search("[a-z]", v) and re.search("[A-Z]", v) and len(set(v)) >= least and not any(a < m.end() and m.start() < b for a, b in known):
+                mine.append((3, *m.span(), v))
+        values.append(mine)
+        for *_, v in mine:
+            owners.setdefault(v, set()).add(source or "")
+            documents.setdefault(v, set()).add(t if d is None else d)
+    own = lambda v: len(owners[v]) <= max_owners and len(documents[v]) <= max_repositories
+    return [(sorted((a, b) for k, a, b, v in mine if k == 3 and own(v)), sum(own(v) for *_, v in mine), sum(not own(v) for *_, v in mine)) for mine in values]
+
+
+def test_live_spans_by_brute_force(spark, texts):
+    r = random.Random(9)
+    tokens = ["".join(r.choice("abcXYZ019defGHIjkl") for _ in range(24)) for _ in range(12)]
+    rows = [(i, t, "en", f"s{i % 5}", 0) for i, t in enumerate(texts)]
+    rows += [(1000 + i if i % 9 else None, f"{i} " + " ".join(r.choice(tokens[: 3 + i % 10]) for _ in range(r.randint(0, 3))), "en", (f"s{i % 3}", None)[i % 11 == 0], 0) for i in range(60)]
+    rows += [(2000 + i, f"only here {tokens[11]}{i % 2}", "en", "s9", 0) for i in range(6)]
+    expected = judged(rows)
+    assert sum(len(x[0]) for x in expected) >= 4 and sum(x[2] for x in expected) > 50
+    found = {}
+    for x in secret_scan(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        live = sorted(tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s.startswith("live"))
+        found.setdefault(x.doc_id, []).append((live, x.n_live, x.n_copied))
+    for (d, *_), e in zip(rows, expected, strict=True):
+        assert e in found[d], (d, e, found[d])
+
+
+def test_hot_hashes_are_dealt_out(spark, monkeypatch):
+    from weftgraph.llm import _work, secret_scan as module
+
+    joined = _work.joined
+    monkeypatch.setattr(module, "joined", lambda *a: joined(*a, few=3))
+    rows = [(i, f"token=aaaaaaaa{i % 2} x", "en", f"s{i}", 0) for i in range(40)] + [(100, "token=single9single", "en", "s", 0)]
+    found = {r.doc_id: (r.n_live, r.n_copied) for r in secret_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: (0, 1) for i in range(40)} | {100: (1, 0)}

@@ -1,57 +1,14 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""What the operators share: keys of rows, joins of hot keys, sizes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.shared import removed, written  # noqa: F401
+
 #: Stands for a null document id where rows are matched by id.
 NULL_ID = -(1 << 63)
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local one only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
-    return _own[key]
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, read back from a table in the shared folder.
-
-    Lineage ends there, so the shuffle files of the plan behind it are removed once it is written.  The
-    table itself goes when ``removed``, or when the driver ends.
-    """
-    spark = df.sparkSession
-    path, clean = f"{shared_dir(spark)}/{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean, None)
-    spark.conf.set(clean, "true")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
-    try:
-        df.select("*").write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def removed(df: DataFrame) -> None:
-    """Deletes the table behind ``written(df)``; call it when no plan reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(conf).delete(path, True)
 
 
 def joined(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: str, few: int = 1000, most: int = 10_000) -> DataFrame:
