@@ -554,11 +554,14 @@ TRAV = {
 }
 
 
-@query("SELECT id, count(*) AS n_roots, string_agg(root, ',' ORDER BY root) AS roots FROM pairs WHERE id <> root GROUP BY id", TRAV)
+TRAV_DISTANCES = TRAV | {"far": "SELECT id, id AS root, 0 AS dist FROM roots UNION SELECT s.target, p.root, p.dist + 1 FROM far p JOIN steps s ON s.source = p.id WHERE p.dist < 12"}
+
+
+@query("SELECT id, depth, n_roots, roots FROM (SELECT id, count(*) AS n_roots, string_agg(root, ',' ORDER BY root) AS roots FROM pairs WHERE id <> root GROUP BY id) JOIN (SELECT id, CAST(min(dist) AS INT) AS depth FROM far WHERE id <> root GROUP BY id) USING (id)", TRAV_DISTANCES)
 def traverse(spark, d):
     g = star.graph(spark, d)
     roots = T.resolve_roots(g.nodes, ["class:part/5", "class:part/77", "class:part/200", "class:region/2", "no such"])
-    return T.traverse(V.tiers(g), roots.select("id"), **WHOLE).select("id", "n_roots", F.array_join("roots", ",").alias("roots"))
+    return T.traverse(V.tiers(g), roots.select("id"), **WHOLE).select("id", "depth", "n_roots", F.array_join("roots", ",").alias("roots"))
 
 
 @query("SELECT id, count(*) AS n_roots FROM pairs WHERE id <> root GROUP BY id", TRAV | {"steps": f"SELECT DISTINCT target AS source, source AS target FROM edges WHERE {USAGE} AND NOT {OWNER_REFERENCE}"})
@@ -669,7 +672,9 @@ def dep_review(spark, d):
 # sinks
 
 
-@query()
+@query("""SELECT 0 AS ord, 'digraph code {' AS line UNION ALL SELECT 3, '}'
+UNION ALL SELECT 1, '  "' || id || '" [label="' || name || '", shape=' || CASE kind WHEN 'INTERFACE' THEN 'ellipse' WHEN 'METHOD' THEN 'oval' ELSE 'box' END || CASE WHEN synthesized THEN ', style=dashed' ELSE '' END || '];' FROM nodes
+UNION ALL SELECT 2, '  "' || source || '" -> "' || target || '" [label="' || lower(kind) || CASE WHEN weight > 1 THEN ' x' || weight ELSE '' END || '"];' FROM edges""")
 def sink_dot(spark, d):
     return sinks.dot(star.graph(spark, d))
 
