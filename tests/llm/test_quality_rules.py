@@ -70,6 +70,13 @@ def test_common_words_alone_reject(spark, docs):
         assert i > 201 or found[i].word_distance > 0.7
 
 
+def test_chance_among_few_common_words_rejects_nothing(spark, docs):
+    rows = [(i, " ".join(["the of and to"] * 10 + [f"noun{i}x{k}" for k in range(200)]), "en", "s", 0) for i in range(60)]
+    rows += [(100, " ".join(["to"] * 12 + [f"n{k}" for k in range(60)]), "en", "s", 0), (101, " ".join(["to"] * 24 + [f"n{k}" for k in range(120)]), "en", "s", 0)]
+    found = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, docs.schema), max_repeat=100, max_class_distance=1.0).collect()}
+    assert found[100].word_distance > 0.5 and quality_rules(spark.createDataFrame(rows, docs.schema), max_repeat=100, max_class_distance=1.0, max_word_distance=0.5).filter("kept AND doc_id >= 100").collect()[0].doc_id == 100
+
+
 def test_few_rows_of_a_language_have_their_own_reference(spark, docs):
     import random
 
@@ -118,7 +125,7 @@ def judged(rows):
         ref = every if lang is None else [[a + share * b for a, b in zip(x, y, strict=True)] for x, y in zip(own, every, strict=True)]
         by_class, by_word = distance(cells[i][0], ref[0]), distance(cells[i][1][:-1], ref[1][:-1])
         hits, expected = n - cells[i][1][-1], n * sum(ref[1][:-1]) / max(1, sum(ref[1]))
-        usual = max(hits, expected) < Q.LEAST_COMMON or (by_word <= 0.7 and 0.2 * expected <= hits <= expected / 0.2)
+        usual = max(hits, expected) < Q.LEAST_COMMON or ((hits < Q.LEAST_COMMON or by_word <= 0.7) and 0.2 * expected <= hits <= expected / 0.2)
         out[d] = (by_class, by_word, not failed and (n < 50 or (by_class <= 0.25 and usual)))
     return out
 

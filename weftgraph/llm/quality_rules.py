@@ -25,8 +25,9 @@ COMMON = (
 ).split()
 #: Words of the sum over all rows that are added to each language's own counts.
 PRIOR_WORDS = 200
-#: The common words are judged where a text has so many, or would have by its reference.
-LEAST_COMMON = 5
+#: The share of the common words is judged where a text has so many, or would have by its reference; their
+#: distance where it has so many.  Among fewer, either is chance.
+LEAST_COMMON = 20
 
 
 def _let(value: Column, body) -> Column:
@@ -129,7 +130,7 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
     windows that the text has twice.  Other rows are kept if they have fewer than ``guard_words`` words,
     or if neither distance to the reference of their language is above its limit and common words are at
     least ``min_common_share`` times and at most its inverse times as frequent as in it.  word_distance is that among the common words, 1 if
-    there are none; it and the share do not count where text and reference both lead to fewer than
+    there are none; it does not count for fewer than LEAST_COMMON of them, and it and the share do not count where text and reference both lead to fewer than
     LEAST_COMMON common words, as in languages that COMMON does not have.  A reference is the sum over the
     language, however few its rows, and PRIOR_WORDS words of the sum over all rows; a row whose lang is
     null is compared to the latter.  A null or empty text has no
@@ -161,7 +162,7 @@ def quality_rules(docs: DataFrame, min_words: int = 10, max_repeat: int = 20, gu
     word_distance = F.round(_distance(common(F.get("x.h", F.lit(1))), common(F.col("ref.words"))), 9)
     failed = (F.col("x.n_words") < min_words) | (100 * F.col("x.n_repeat_words") > max_repeat * F.col("x.n_words"))
     rows = rows.select("row", "x", failed.alias("base_failed"), class_distance.alias("class_distance"), word_distance.alias("word_distance"), hits.alias("hits"), expected.alias("expected"))
-    usual = (F.greatest("hits", "expected") < LEAST_COMMON) | ((F.col("word_distance") <= max_word_distance) & F.col("hits").between(min_common_share * F.col("expected"), F.col("expected") / min_common_share))
+    usual = (F.greatest("hits", "expected") < LEAST_COMMON) | (((F.col("hits") < LEAST_COMMON) | (F.col("word_distance") <= max_word_distance)) & F.col("hits").between(min_common_share * F.col("expected"), F.col("expected") / min_common_share))
     kept = ~F.col("base_failed") & ((F.col("x.n_words") < guard_words) | ((F.col("class_distance") <= max_class_distance) & usual))
     if keep_columns:
         # what depends on a partition's number is not moved below, so nothing is computed twice
