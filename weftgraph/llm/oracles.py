@@ -34,7 +34,7 @@ sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (SELECT doc_id, k, n, array_to_string(list_slice(w, k + 1, k + n), ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS k FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, k, n, item FROM dw JOIN iw USING (s, n)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM m)) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM m) GROUP BY doc_id),
 -- proximity: all words of a window within 15 words, looked for around each occurrence of its rarest word
 c AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY word),
 ws AS (SELECT s, list_distinct(string_split(s, ' ')) AS need FROM (SELECT DISTINCT s FROM iw)),
