@@ -171,15 +171,15 @@ def undefined_distance(spark, d):
     return A.undefined_distance(A.martin_metrics(star.graph(spark, d)))
 
 
-# a sparse graph with cycles, of all line items: each part with the part that most often follows it in an order
+# a sparse unit graph with cycles, of all line items: each nation's customers with the two nations that supply them most
 SPARSE = """SELECT source, target, weight FROM (SELECT source, target, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) AS r FROM (
-  SELECT 'part/' || a.l_partkey AS source, 'part/' || b.l_partkey AS target, CAST(count(*) AS BIGINT) AS weight FROM {lineitem} a JOIN {lineitem} b
-  ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey GROUP BY 1, 2)) WHERE r = 1"""
+  SELECT cn.n_name AS source, sn.n_name AS target, CAST(count(*) AS BIGINT) AS weight FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+  JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} cn ON c_nationkey = cn.n_nationkey JOIN {nation} sn ON s_nationkey = sn.n_nationkey WHERE cn.n_nationkey <> sn.n_nationkey GROUP BY 1, 2)) WHERE r <= 2"""
 CLOSURE = {"sparse": star.filled(SPARSE), "closure": "SELECT source, target FROM sparse UNION SELECT c.source, s.target FROM closure c JOIN sparse s ON s.source = c.target"}
 
 
 def _sparse(spark, d):
-    return spark.sql(SPARSE, **{t: star.table(spark, d, t) for t in ("lineitem",)})
+    return spark.sql(SPARSE, **{t: star.table(spark, d, t) for t in ("lineitem", "orders", "customer", "supplier", "nation")})
 
 
 @query("SELECT a.source AS id, min(a.target) AS component FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source GROUP BY a.source", CLOSURE)
@@ -200,7 +200,7 @@ def strong_components(spark, d):
     CLOSURE
     | {
         "starts": "SELECT DISTINCT min(a.target) AS start FROM closure a JOIN closure b ON a.source = b.target AND a.target = b.source GROUP BY a.source",
-        "walks": "SELECT start, start AS at, 0 AS n FROM starts UNION SELECT w.start, s.target, w.n + 1 FROM walks w JOIN sparse s ON s.source = w.at WHERE w.n < 2000",
+        "walks": "SELECT start, start AS at, 0 AS n FROM starts UNION SELECT w.start, s.target, w.n + 1 FROM walks w JOIN sparse s ON s.source = w.at WHERE w.n < 12",
     },
 )
 def cycles(spark, d):
