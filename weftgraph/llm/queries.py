@@ -8,6 +8,8 @@ from weftgraph.llm import line_dedup as line
 from weftgraph.llm import oracles
 from weftgraph.llm.bpe import bpe
 from weftgraph.llm.decontaminate import decontaminate
+from weftgraph.llm.hard_negatives import hard_negatives
+from weftgraph.llm.html_extraction import html_extraction
 from weftgraph.llm.importance_resampling import importance_resampling
 from weftgraph.llm.jaccard_join import jaccard_join
 from weftgraph.llm.quality_model import quality_model
@@ -62,11 +64,19 @@ def op10_quality_rules(spark, sf_dir: str):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark, sf_dir: str):
+    return html_extraction(table(spark, sf_dir, "pages"))
+
+
 def op12_importance_resampling(spark, sf_dir: str):
     return importance_resampling(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), order=1, buckets=10_000, seed=2024, min_words=20, percent=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_classifier, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules, op12_importance_resampling)}
+def op13_hard_negatives(spark, sf_dir: str):
+    return hard_negatives(table(spark, sf_dir, "embeddings"), every=100, positives=5, negatives=10, least=30, most=90)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_quality_classifier, op4_substring_dedup, op5_ngram_jaccard_join, op6_benchmark_decontamination, op7_line_dedup, op8_bpe, op9_suffix_array_dedup, op10_quality_rules, op11_html_extraction, op12_importance_resampling, op13_hard_negatives)}
 ORACLES = {
     "op4_substring_dedup": oracles.SUBSTRING,
     "op5_ngram_jaccard_join": oracles.JACCARD,
@@ -74,4 +84,5 @@ ORACLES = {
     "op7_line_dedup": line.ORACLE,
     "op9_suffix_array_dedup": oracles.SUFFIX,
     "op12_importance_resampling": oracles.IMPORTANCE,
+    "op13_hard_negatives": oracles.NEGATIVES,
 }
