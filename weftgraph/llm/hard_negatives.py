@@ -164,7 +164,7 @@ def needed(chunks: DataFrame, blocks: DataFrame, n_blocks: int, number: Numbers,
     with ``seeds`` so many blocks of the greatest bounds for each anchor."""
     pages = -(-max(1, n_blocks) // ZONES)
     zone = F.struct("at", "lo", "hi", "label_lo", "label_hi")
-    zones = blocks.groupBy(F.pmod(F.xxhash64("at"), F.lit(pages)).alias("page")).agg(F.collect_list(zone).alias("zones"))
+    zones = blocks.groupBy(F.pmod(F.xxhash64("at"), F.lit(pages)).cast("int").alias("page")).agg(F.collect_list(zone).alias("zones"))
 
     def run(batches):
         for b in batches:
@@ -256,7 +256,8 @@ def visited(pairs: DataFrame, chunks: DataFrame, blocks: DataFrame, n_blocks: in
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 3]
         return pa.table({name.split()[0]: pa.array(x, kind) for name, x, kind in zip(FOUND.split(", "), got, kinds, strict=True)})
 
-    slice_of = F.pmod(F.xxhash64("at"), F.lit(slices)).alias("slice")
+    # an int on both sides: keys of other types would hash apart
+    slice_of = F.pmod(F.xxhash64("at"), F.lit(slices)).cast("int").alias("slice")
     right = pairs.join(blocks.select("at", "ids", "labels", "x", slice_of), F.col("block") == F.col("at")).select("chunk", "slice", "at", "ids", "labels", "x", "who")
     left = chunks.select(F.col("at").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "at", "ids", "labels", "x", "first", "last")
     rows = left.groupBy("chunk", "slice").cogroup(right.groupBy("chunk", "slice")).applyInArrow(run, FOUND)
