@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from weftgraph.functions import naming, sql, url
@@ -5,34 +7,56 @@ from weftgraph.operators.architecture import glob_regex
 from weftgraph.operators.retention import class_glob
 from weftgraph.sources import configs
 
-SQL = [
-    ("WITH cheap AS (SELECT sku FROM catalogue WHERE price < 5) SELECT count(*) FROM cheap", ["catalogue"]),
-    ("WITH RECURSIVE boss(emp) AS (SELECT emp FROM staff WHERE lead IS NULL UNION ALL SELECT s.emp FROM staff s JOIN boss ON s.lead = boss.emp) TABLE boss", ["staff"]),
-    ("WITH one AS (VALUES (1)), two AS MATERIALIZED (SELECT * FROM catalogue) SELECT * FROM one CROSS JOIN two", ["catalogue"]),
-    ("WITH kept AS NOT MATERIALIZED (SELECT sku FROM catalogue) SELECT sku FROM kept WHERE sku > 3", ["catalogue"]),
-    ("WITH fresh AS (SELECT * FROM feed) INSERT INTO catalogue (sku) SELECT sku FROM fresh", ["feed", "catalogue"]),
-    ("WITH tmp AS (SELECT 2 AS n) SELECT n FROM tmp; SELECT n FROM tmp", ["tmp"]),
-    ("SELECT extract(month FROM sold_on), sku FROM sales", ["sales"]),
-    ("SELECT trim(LEADING '0' FROM code) FROM stores", ["stores"]),
-    ("SELECT substring(code FROM 1 FOR 2) AS region FROM stores", ["stores"]),
-    ("SELECT q.sku FROM (SELECT sku FROM sales WHERE n > 1) q", ["sales"]),
-    ("SELECT sku, (SELECT min(price) FROM catalogue) FROM sales", ["catalogue", "sales"]),
-    ("SELECT sku FROM sales WHERE store IN (SELECT id FROM stores WHERE open)", ["sales", "stores"]),
-    ("SELECT sku FROM sales WHERE old IS DISTINCT FROM new", ["sales"]),
-    ("SELECT sku FROM sales WHERE old IS NOT DISTINCT FROM new AND n > 0", ["sales"]),
-    ("SELECT 1 FROM shop.sales", ["shop.sales"]),
-    ("SELECT 1 FROM `shop.sales`", ["shop%2Esales"]),
-    ("SELECT l.sku FROM sales AS l, stores AS r WHERE l.store = r.id", ["sales", "stores"]),
-    ("SELECT c.name FROM pragma_table_info('sales') AS c, stores", ["stores"]),
-    ("UPDATE stores SET open = 1; UPDATE sales SET n = 0", ["stores", "sales"]),
-    ("update your settings first", []),
-    ("DELETE FROM feed WHERE seen", ["feed"]),
-]
-
-
-@pytest.mark.parametrize("text,names", SQL)
-def test_relations(text, names):
-    assert sql.relations(text)[0] == names
+
+
+def statement(r, depth=0):
+    """A random statement, and the tables that it reads, in the order they are named in."""
+    fresh = lambda k: f"{k}{r.randrange(10**6)}"
+
+    def source():
+        if depth < 3 and r.random() < 0.35:
+            inner, names = statement(r, depth + 1)
+            return f"({inner}) {fresh('q')}", names
+        name = fresh("t")
+        shown = r.choice([name, f"{name} AS {fresh('a')}", f"{name} {fresh('a')}", f'"{name}"', f"`{name}`"])
+        return shown, [name]
+
+    sources, joins = [source() for _ in range(r.randint(1, 3))], [", ", " JOIN ", " LEFT JOIN ", " CROSS JOIN "]
+    text, names = sources[0][0], list(sources[0][1])
+    for s, n in sources[1:]:
+        link = r.choice(joins)
+        text += link + s + (" ON 1 = 1" if link.endswith("T JOIN ") or link == " JOIN " else "")
+        names += n
+    columns = r.choice(["*", "c1, c2", "extract(day FROM c1)", "trim(BOTH 'x' FROM c1)", "substring(c1 FROM 2)", "'FROM hidden'", "c1 /* FROM hidden */"])
+    tail = r.choice(["", " WHERE c1 IS DISTINCT FROM c2", " WHERE c1 > 2 -- FROM hidden\n", " GROUP BY c1"])
+    if depth < 3 and not tail and r.random() < 0.5:
+        inner, more = statement(r, depth + 1)
+        tail, names = f" WHERE c1 IN ({inner})", names + more
+    out = f"SELECT {columns} FROM {text}{tail}"
+    if depth < 2 and r.random() < 0.3:
+        inner, more = statement(r, depth + 1)
+        local = fresh("w")
+        out, names = f"WITH {local} AS ({inner}) SELECT * FROM {local}, ({out}) {fresh('q')}", more + names
+    return out, names
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_relations_of_nested_queries(seed):
+    text, names = statement(random.Random(seed))
+    found, unknown = sql.relations(text)
+    assert sorted(found) == sorted(set(names)) and not unknown, text
+
+
+@pytest.mark.parametrize("before,names", [("INSERT INTO t0 (c1) ", ["t0"]), ("CREATE TABLE t0 AS ", None)])
+def test_relations_of_other_statements(before, names):
+    text, inner = statement(random.Random(1))
+    found = sql.relations(before + text)[0]
+    assert set(inner) <= set(found) and (names is None or set(found) == {*inner, *names})
+
+
+def test_relations_of_changes():
+    assert sql.relations("UPDATE t1 SET c = 1; DELETE FROM t2 WHERE c")[0] == ["t1", "t2"]
+    assert sql.relations("the word update alone")[0] == [] and sql.relations("SELECT 1 FROM s.t1, `s.t2`")[0] == ["s.t1", "s%2Et2"]
 
 
 def test_table_functions_are_unresolved():

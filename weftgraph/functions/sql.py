@@ -74,6 +74,10 @@ def _close(t: list[str], i: int) -> int:
     return len(t) - 1
 
 
+#: Words that end the list of a FROM.
+_AFTER_FROM = frozenset("SELECT WHERE GROUP ORDER HAVING LIMIT UNION INTERSECT EXCEPT SET VALUES WINDOW RETURNING FETCH OFFSET".split())
+
+
 def relations(sql: str) -> tuple[list[str], int]:
     """(relation names in order of appearance, operands that are not names).
 
@@ -85,17 +89,23 @@ def relations(sql: str) -> tuple[list[str], int]:
     for t in _statements(_tokens(sql)):
         if not t or t[0].upper() not in _HEADS or (t[0].upper() == "UPDATE" and "SET" not in (x.upper() for x in t)):
             continue
-        hidden, stack = _with_names(t), [""]
+        hidden, stack, listed, followed = _with_names(t), [""], [False], set()
         for i, x in enumerate(t):
             up = x.upper()
             if x == "(":
                 stack.append(t[i - 1].upper() if i else "")
+                listed.append(False)
             elif x == ")":
-                stack = stack[:-1] or [""]
+                stack, listed = stack[:-1] or [""], listed[:-1] or [False]
+            elif up in _AFTER_FROM:
+                listed[-1] = False
+            elif x == "," and listed[-1] and i not in followed:  # a further item of the list, after a join's condition
+                up = "FROM"
             if up not in ("FROM", "JOIN", "INTO", "UPDATE", "TABLE") or (up == "UPDATE" and i and t[i - 1].upper() in ("FOR", "ON", "DO")):
                 continue
             if up == "FROM" and (stack[-1] in _INSIDE or (i and t[i - 1].upper() == "DISTINCT" and i > 1 and t[i - 2].upper() in ("IS", "NOT"))):
                 continue
+            listed[-1] = listed[-1] or up == "FROM"
             j = i + 1
             while j < len(t):
                 while j < len(t) and t[j].upper() in ("ONLY", "LATERAL", "IF", "EXISTS", "NOT"):
@@ -122,7 +132,8 @@ def relations(sql: str) -> tuple[list[str], int]:
                     j += 1
                 if j < len(t) and _is_name(t[j]) and t[j].upper() not in _STOP:
                     j += 1
-                if up != "FROM" or j >= len(t) or t[j] != ",":
+                if up not in ("FROM", "JOIN") or j >= len(t) or t[j] != ",":
                     break
+                followed.add(j)
                 j += 1
     return found, unresolved

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,19 +97,21 @@ def is_test_path(path):
     return F.exists(pairs, lambda x: test(x["b"])) & ~production
 
 
-def impact(revisions: dict[str, Graph], changed: DataFrame, **limits) -> DataFrame:
+def impact(revisions: dict[str, Graph], changed: DataFrame, path_limit: int | None = None, **limits) -> DataFrame:
     """id, depth, relation, path_status, test_status, module, file of what is affected in any revision.
 
     A path is the shortest over revisions; path_status tells whether each revision that has the node
-    affected has a path.
+    affected has a path.  All revisions share ``path_limit`` edges of paths: in the order of revisions and
+    ids, a path that no longer fits is left out (``budgeted``).
     """
     rows = []
-    for name, g in revisions.items():
+    for i, (name, g) in enumerate(revisions.items()):
         found = affected(g, changed, **limits)
         w = witnesses(g, changed, found)
-        rows.append(found.filter("depth > 0").join(w, "id", "left").join(g.nodes.select("id", "module", "path").withColumnRenamed("path", "file"), "id").select("id", F.lit(name).alias("revision"), "depth", "path", "kinds", "module", "file"))
+        rows.append(found.filter("depth > 0").join(w, "id", "left").join(g.nodes.select("id", "module", "path").withColumnRenamed("path", "file"), "id").select("id", F.lit(name).alias("revision"), F.lit(i).alias("nth"), "depth", "path", "kinds", "module", "file"))
     every = reduce(DataFrame.unionByName, rows)
     every = every.join(changed.select("id"), "id", "left_anti")
+    every = budgeted(every.withColumn("steps", F.col("depth")), path_limit, ("nth", "id")).withColumn("path", F.when(F.col("shown"), F.col("path"))).drop("steps")
     status = test_status(F.col("file"))
     kinds = F.flatten(F.collect_list(F.coalesce("kinds", F.array().cast("array<string>"))))
     out = every.groupBy("id").agg(F.min("depth").alias("depth"), kinds.alias("all_kinds"), F.min(F.size("kinds")).alias("steps"), F.count("*").alias("n"), F.count("path").alias("with_path"), F.collect_set(status).alias("statuses"), F.min("module").alias("module"), F.min("file").alias("file"))
@@ -146,20 +149,51 @@ def sorted_page(items: DataFrame, sort: str = "USR", limit: int = 500, offset: i
     return items.withColumn("review", review).orderBy(*(F.asc_nulls_last(c) for c in SORTS[sort]), "id").offset(offset).limit(limit).drop("review")
 
 
-def budgeted(items: DataFrame, budget: int = 100_000) -> DataFrame:
-    """id, shown: whether a path of ``steps`` still fits the budget, taking ids in order and skipping those
-    that do not fit.  The list is bounded by the visit limit, so one task folds it."""
-    import pandas as pd
+def budgeted(items: DataFrame, budget: int | None, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``items`` with ``shown``: whether its ``steps`` still fit what the items before it in ``order`` have left
+    of ``budget``; one that does not fit is skipped and takes nothing.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, shown = budget, []
-        pdf = pdf.sort_values("id")
-        for n in pdf.steps:
-            shown.append(n <= left)
-            left -= n if shown[-1] else 0
-        return pd.DataFrame({"id": pdf.id, "shown": shown})
-
-    return items.select("id", "steps", F.lit(0).alias("all")).groupBy("all").applyInPandas(fold, "id string, shown boolean")
+    Items are sorted in ranges over the cluster, of which the driver gets how many there are of each number
+    of steps.  While the items of a range that are no longer than what is left fit in all, they are all
+    shown.  The ranges in which one of these is refused are folded row by row; that one is longer than what
+    is left then, so there are no more such ranges than numbers of steps.
+    """
+    if budget is None:
+        return items.withColumn("shown", F.lit(True))
+    rows = settled(items.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    ranges: dict[int, dict[int, int]] = {}
+    for r in rows.groupBy(part.alias("part"), "steps").agg(F.count("*").alias("n")).collect():
+        ranges.setdefault(r.part, {})[r.steps] = r.n
+    left, bounds, folded = budget, [], None
+    for p in sorted(ranges):
+        fits = {c: n for c, n in ranges[p].items() if c <= left}
+        takes = sum(c * n for c, n in fits.items())
+        if takes <= left:
+            bounds.append((p, left))
+            left -= takes
+            continue
+
+        def fold(batches, left=left):
+            for b in batches:
+                shown = []
+                for at, n in zip(b.column("_at").to_pylist(), b.column("steps").to_pylist(), strict=True):
+                    if n <= left:
+                        shown.append((at, n))
+                        left -= n
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in shown], pa.int64()) for k in (0, 1)], names=["_at", "took"])
+
+        # one range: what a task of the sort had
+        some = settled(rows.filter((part == p) & (F.col("steps") <= left)).select("_at", F.col("steps").cast("long").alias("steps")).repartition(1).sortWithinPartitions("_at").mapInArrow(fold, "_at long, took long"))
+        bounds.append((p, -1))
+        left -= some.agg(F.sum("took")).first()[0] or 0
+        folded = some if folded is None else folded.unionByName(some)
+    limits = rows.sparkSession.createDataFrame(bounds or [(0, 0)], "_part long, _most long")  # a row a range
+    out = rows.withColumn("_part", part).join(F.broadcast(limits), "_part")
+    if folded is None:
+        return out.withColumn("shown", F.col("steps") <= F.col("_most")).drop("_at", "_part", "_most")
+    out = out.join(folded, "_at", "left").withColumn("shown", F.when(F.col("_most") < 0, F.col("took").isNotNull()).otherwise(F.col("steps") <= F.col("_most")))
+    return out.drop("_at", "_part", "_most", "took")
 
 
 def include_closure(includes: DataFrame, changed: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -12,6 +12,7 @@ from weftgraph.operators import query as Q
 from weftgraph.operators import reach as R
 from weftgraph.operators import retention as K
 from weftgraph.operators import review as W
+from weftgraph.operators import traverse as T
 from weftgraph.plans import star
 from weftgraph.plans.queries import query, walk
 
@@ -99,44 +100,58 @@ def test_nodes(spark, d):
     return W.test_nodes(star.graph(spark, d))
 
 
-@query("SELECT 'test-sources-included: ' || count(*) || ' edge(s) from production declarations reference test-source declarations' AS limitation FROM edges WHERE kind <> 'OVERRIDE' AND target IN (SELECT id FROM tests) AND source NOT IN (SELECT id FROM tests)", TESTS)
+@query("SELECT 'TESTS_IN_USE' AS code, count(*) AS n FROM edges WHERE kind <> 'OVERRIDE' AND target IN (SELECT id FROM tests) AND source NOT IN (SELECT id FROM tests)", TESTS)
 def test_scope(spark, d):
     g = star.graph(spark, d)
     return W.test_scope(g, g.nodes.filter("id = 'class:region/1'").select("id"))[1]
 
 
+@query("""SELECT kind, origin, count(*) AS n, (SELECT count(*) FROM tests) AS left_out FROM edges
+WHERE kind IN ('MEMBER', 'INHERITANCE', 'OVERRIDE') AND source NOT IN (SELECT id FROM tests) AND target NOT IN (SELECT id FROM tests) GROUP BY kind, origin""", TESTS)
+def test_scope_excluding(spark, d):
+    """Without the references into tests, these are left out."""
+    g = star.graph(spark, d)
+    tests = W.test_nodes(g)
+    safe = g.edges.filter("kind = 'INHERITANCE' OR kind = 'OVERRIDE'").unionByName(g.edges.filter("kind = 'MEMBER'").join(tests.withColumnRenamed("id", "target"), "target", "left_anti").select(*g.edges.columns))
+    safe = safe.join(tests.withColumnRenamed("id", "target"), "target", "left_anti").select(*g.edges.columns).unionByName(safe.filter("kind = 'OVERRIDE'").join(tests.withColumnRenamed("id", "target"), "target", "left_semi").select(*g.edges.columns))
+    scoped, said = W.test_scope(G.Graph(g.nodes, safe, g.facts), g.nodes.filter("id = 'class:region/1'").select("id"))
+    return scoped.edges.groupBy("kind", "origin").agg(F.count("*").alias("n")).crossJoin(said.filter("code = 'TESTS_LEFT_OUT'").select(F.col("n").alias("left_out")))
+
+
 @query("SELECT id FROM nodes WHERE path LIKE '%/NATION_3/customer.kt' OR path = 'src/main/region.kt'")
 def changed_since(spark, d):
     files = spark.createDataFrame([("repo/src/main/java/NATION_3/customer.kt",), ("src/main/region.kt",), ("java/none.kt",)], "path string")
     return W.changed_since(star.graph(spark, d), files)
 
 
-@query("""SELECT o AS ord, limitation FROM (
-  SELECT 0 AS o, 'path-budget: ' || count(*) || ' candidate path omission(s) required more than the 9 edge limit' AS limitation FROM {orders} WHERE o_orderpriority <> '5-LOW'
-  UNION ALL SELECT 2, 'result-page: ' || (count(*) - 100) || ' matching candidate(s) are outside this page' FROM {orders}
-  UNION ALL SELECT 3, 'potential-impact: graph dependencies are review candidates; behavior, external consumers and runtime paths may need additional validation'
-  UNION ALL SELECT 4, 'missing-source-locations: some compiled declarations cannot be matched to changed source files')""", plain=True)
+@query("""SELECT o AS ord, code, CAST(n AS BIGINT) AS n, CAST(bound AS BIGINT) AS bound FROM (
+  SELECT 0 AS o, 'LONG_PATHS' AS code, count(*) AS n, 9 AS bound FROM {orders} WHERE o_orderpriority <> '5-LOW'
+  UNION ALL SELECT 2, 'OTHER_PAGES', count(*) - 100, NULL FROM {orders} UNION ALL SELECT 3, 'STATIC_VIEW', NULL, NULL
+  UNION ALL SELECT 4, 'NO_FILE', count(*), NULL FROM {part} WHERE p_partkey % 11 = 0)""", plain=True)
 def impact_limitations(spark, d):
     items = star.table(spark, d, "orders").select(F.when(F.col("o_orderpriority") == "5-LOW", "COMPLETE").otherwise("PARTIAL").alias("path_status"))
-    return W.impact_limitations(items, star.nodes(spark, d), 9, 1000, [], limit=100).select("ord", "limitation")
+    return W.impact_limitations(items, star.nodes(spark, d), 9, 1000, [], limit=100)
 
 
-@query("""SELECT 'only references from supplied compiled roots are measured; reflection strings, resources and source-retention annotations are not resolved' AS limitation
-UNION ALL SELECT 'resolved dependency artifacts were not supplied; ownership of undeclared transitive dependencies was not checked'
-UNION ALL SELECT count(*) || ' declared dependencies use processor, runtime-only, or unjudged test scopes and were not judged' FROM {part} WHERE p_brand LIKE '%2' HAVING count(*) > 0
-UNION ALL SELECT count(*) || ' declared artifacts contained no class files and were not judged' FROM {part} WHERE p_brand LIKE '%3' HAVING count(*) > 0""", plain=True)
+@query("""SELECT o AS ord, code, CAST(n AS BIGINT) AS n, CAST(NULL AS BIGINT) AS bound FROM (SELECT 0 AS o, 'ONLY_GIVEN_ROOTS' AS code, NULL AS n UNION ALL SELECT 2, 'NO_ARTIFACTS', NULL
+UNION ALL SELECT 3, 'SCOPE_NOT_JUDGED', count(*) FROM {part} WHERE p_brand LIKE '%2' HAVING count(*) > 0 UNION ALL SELECT 4, 'NO_CLASSES', count(*) FROM {part} WHERE p_brand LIKE '%3' HAVING count(*) > 0)""", plain=True)
 def dep_limitations(spark, d):
     status = F.when(F.col("p_brand").endswith("2"), "skipped").when(F.col("p_brand").endswith("3"), "withoutClasses").otherwise("used")
     return W.dependency_limitations(star.table(spark, d, "part").select(status.alias("status")), test_given=True, resolved_given=False)
 
 
-@query("""SELECT CAST(0 AS INT) AS ord, 'unresolved-roots: 1 requested root(s) have no single node' AS limitation
-UNION ALL SELECT 1, 'max-depth: nodes further than 7 steps were left out' UNION ALL SELECT 2, 'max-reached: the result was cut at 20 nodes'
-UNION ALL SELECT 3, 'static-graph: calls by reflection, native code and generated classes that were not supplied are not followed'""", plain=True)
+@query("""SELECT o AS ord, code, CAST(n AS BIGINT) AS n, CAST(bound AS BIGINT) AS bound FROM (SELECT 0 AS o, 'NO_SUCH_ROOT' AS code, 1 AS n, NULL AS bound
+UNION ALL SELECT 1, 'TOO_DEEP', NULL, max(depth) FROM found HAVING max(depth) > 0 UNION ALL SELECT 2, 'TOO_MANY', count(*), 20 FROM found HAVING count(*) >= 20 UNION ALL SELECT 3, 'STATIC_VIEW', NULL, NULL)""",
+       {"found": """SELECT id, min(depth) AS depth FROM (SELECT target AS id, 1 AS depth FROM edges WHERE source = 'class:region/1' AND kind = 'MEMBER'
+         UNION ALL SELECT b.target, 2 FROM edges a JOIN edges b ON a.target = b.source WHERE a.source = 'class:region/1' AND a.kind = 'MEMBER' AND b.kind = 'MEMBER'
+         UNION ALL SELECT c.target, 3 FROM edges a JOIN edges b ON a.target = b.source JOIN edges c ON c.source = b.target WHERE a.source = 'class:region/1' AND a.kind = 'MEMBER' AND b.kind = 'MEMBER' AND c.kind = 'MEMBER') GROUP BY id"""})
 def trav_limitations(spark, d):
-    rows = star.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("depth"))
-    roots = spark.createDataFrame([("class:part/5",)], "requested string")
-    return W.traversal_limitations(rows, roots, ["class:part/5", "no such"], max_depth=7, max_reached=20).select("ord", "limitation")
+    """Of what region 1 holds, at any remove."""
+    g = star.graph(spark, d)
+    asked = ["class:region/1", "no such"]
+    roots = T.resolve_roots(g.nodes, asked)
+    e = g.edges.filter("kind = 'MEMBER'").select("source", "target", F.lit("member").alias("relationship"), F.lit("DIRECT").alias("tier"), F.lit(None).cast("string").alias("class_role"))
+    return W.traversal_limitations(T.traverse(e, roots, max_depth=3, max_reached=None), roots, asked, max_depth=3, max_reached=20)
 
 
 # uses in source, enum decisions, layouts
