@@ -41,12 +41,15 @@ def vectors(n, dims=6, seed=3, labels=4):
 
 
 @pytest.fixture
-def small(monkeypatch):
-    """Many blocks, chunks and slices of few rows."""
+def small(monkeypatch, spark):
+    """Many blocks, chunks and slices of few rows, in tasks of their own."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     monkeypatch.setattr(module, "BLOCK", 16)
     monkeypatch.setattr(module, "CHUNK", 5)
     monkeypatch.setattr(module, "ZONES", 7)
     monkeypatch.setattr(module, "ranges", lambda amount, each, least=8: 3)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def odd():
