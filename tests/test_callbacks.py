@@ -110,3 +110,13 @@ def test_symbol_and_why_documents(make, spark):
     assert doc("B")["status"] == "ambiguous" and len(doc("B")["candidates"]) == 2 and doc("nothing")["status"] == "notFound"
     lines = [r.line for r in Q.why_document(g, evidence, reached, "p.B", ["static"]).orderBy("ord", "line").collect()]
     assert lines == ["subject\tclass:p/B\tp.B\tclass\t-", "state\treachable", "path\tp.A -> p.B", "usedBy\t1", "caller\tp.A\tcall", "limitation\tstatic"]
+
+
+def test_keep_rules_on_annotated_members(make, spark):
+    nodes = [node("class:a/b/c/One"), node("class:Plain"), method("method:a/b/c/One#x()V", annotations=["a/Keep"]), method("method:a/b/c/One#y()V"), method("method:Plain#z()V", annotations=["a/Keep", "a/Other"])]
+    g = make(nodes, [edge("class:a/b/c/One", "method:a/b/c/One#x()V", "MEMBER"), edge("class:a/b/c/One", "method:a/b/c/One#y()V", "MEMBER"), edge("class:Plain", "method:Plain#z()V", "MEMBER")])
+    ids = lambda text: sorted(r.node_id for r in K.keep_rules(g, configs.keep_rules(text)).collect())
+    assert ids("-keepclassmembers class * { @a.Keep *; }") == ["method:Plain#z()V", "method:a/b/c/One#x()V"]
+    assert ids("-keepclassmembers class a.b.** { @a.* public void *(); }") == ["method:a/b/c/One#x()V"]
+    assert ids("-keepclasseswithmembers class * { @a.Other <methods>; }") == ["class:Plain", "method:Plain#z()V"]
+    assert ids("-keep class Plain\n-keep class a.b.c.One\n-keep class a.b.x.One\n") == ["class:Plain", "class:a/b/c/One"]

@@ -128,27 +128,46 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, max_depth: int |
     return seen.all
 
 
+#: Steps of trimming and of colouring that one job does.
+STEPS = 3
+
+
+def _trimmed(e: DataFrame) -> DataFrame:
+    """Without the edges out of vertices that nothing enters, and into those that nothing leaves."""
+    out = e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+    return out.join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its least id) of the vertices that lie on cycles.
 
     Vertices without a way in or out are trimmed away first.  Then rounds of colouring: the greatest id
     that reaches a vertex is its colour; what can reach the colour's own vertex within the colour is one
-    component and leaves.  Linear in the edges per step; no pairs of vertices are made.
+    component and leaves.  Linear in the edges per step; no pairs of vertices are made.  A job does ``STEPS``
+    steps, and tables go once the next one is written.
     """
-    e = plain(edges)
-    done = None
-    while True:
+    e, done = plain(edges), None
+    n = e.count()
+    while n:
         while True:  # trim
+            old, before = e, n
+            for _ in range(STEPS):
+                e = _trimmed(e)
+            e = settled(e)
+            removed(old)
             n = e.count()
-            e = settled(e.join(e.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(e.select(F.col("source").alias("target")).distinct(), "target", "left_semi"))
-            if e.count() == n:
+            if n == before:
                 break
         if not n:
             break
         colour = settled(e.select(F.col("source").alias("id")).union(e.select("target")).distinct().withColumn("c", F.col("id")))
         while True:  # the greatest colour flows forward
-            came = e.join(colour.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("c").alias("m"))
-            new = settled(colour.join(came, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") > F.col("c")).alias("grew")))
+            old, now = colour, colour
+            for _ in range(STEPS):
+                came = e.join(now.withColumnRenamed("id", "source"), "source").groupBy(F.col("target").alias("id")).agg(F.max("c").alias("m"))
+                now = now.join(came, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"))
+            new = settled(now.join(old.withColumnRenamed("c", "was"), "id").select("id", "c", (F.col("c") > F.col("was")).alias("grew")))
+            removed(old)
             colour = new.select("id", "c")
             if new.filter("grew").isEmpty():
                 break
@@ -160,5 +179,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
         found = settled(found.join(size, "c").join(loops.withColumn("self", F.lit(True)), "id", "left").filter("n > 1 OR self").select("id", "component"))
         done = found if done is None else settled(done.unionByName(found))
         gone = settled(back.select("id"))
+        old = e
         e = settled(e.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti"))
+        for x in (old, inner, gone, colour):
+            removed(x)
+        n = e.count()
     return done if done is not None else e.select(F.col("source").alias("id"), F.col("target").alias("component"))

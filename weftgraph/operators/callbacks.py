@@ -10,7 +10,7 @@ from weftgraph import schema as S
 from weftgraph.graph import Graph
 from weftgraph.iterate import bfs, settled
 from weftgraph.operators.dispatch import methods
-from weftgraph.operators.retention import supertypes
+from weftgraph.operators.retention import below, supertypes
 
 # Types whose members a framework calls back.
 CALLBACK_TYPES = (
@@ -59,9 +59,9 @@ def _has(column: str, value: str):
 def runtime_callbacks(g: Graph, types: tuple[str, ...] = CALLBACK_TYPES, hierarchy: DataFrame | None = None) -> DataFrame:
     """source (class), target (member), kind REFERENCE, origin RUNTIME_MODEL: constructors and methods, neither
     private nor static, of classes below one of ``types``, at any remove."""
-    below = supertypes(g, hierarchy).filter(F.col("target").isin(*(f"class:{t}" for t in types))).select(F.col("source").alias("owner")).distinct()
+    under = below(g, types, hierarchy).select(F.col("id").alias("owner"))
     part = g.nodes.filter(F.col("kind").isin("METHOD", "CONSTRUCTOR") & (F.coalesce("visibility", F.lit("")) != "PRIVATE") & ~_has("modifiers", "STATIC")).select(F.col("id").alias("target"), S.owner_class(F.col("id")).alias("owner"))
-    return part.join(below, "owner", "left_semi").select(F.col("owner").alias("source"), "target", F.lit("REFERENCE").alias("kind"), F.lit("RUNTIME_MODEL").alias("origin"))
+    return part.join(under, "owner", "left_semi").select(F.col("owner").alias("source"), "target", F.lit("REFERENCE").alias("kind"), F.lit("RUNTIME_MODEL").alias("origin"))
 
 
 def library_overrides(g: Graph, library: DataFrame, hierarchy: DataFrame | None = None, limit: int = 256) -> DataFrame:

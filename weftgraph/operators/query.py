@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph import schema as S
@@ -150,8 +150,8 @@ def why_document(g: Graph, evidence: DataFrame, reached: DataFrame, requested: s
 def top_callers(g: Graph, n: int = 5) -> DataFrame:
     """target, rank, caller, weight: the first ``n`` callers of each target by id, a report of its own."""
     e = g.edges.filter("kind = 'CALL'").groupBy("target", "source").agg(F.sum("weight").alias("weight"))
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("source", "weight"))), 1, n)
-    return e.groupBy("target").agg(rows.alias("c")).select("target", F.posexplode("c").alias("rank", "c")).select("target", (F.col("rank") + 1).alias("rank"), F.col("c.source").alias("caller"), F.col("c.weight").alias("weight"))
+    first = F.row_number().over(Window.partitionBy("target").orderBy("source"))
+    return e.withColumn("rank", first).filter(F.col("rank") <= n).select("target", "rank", F.col("source").alias("caller"), "weight")
 
 
 def discover(g: Graph, requested: str) -> DataFrame:

@@ -135,19 +135,34 @@ def keep_annotation(g: Graph) -> DataFrame:
     return _evidence(hit, F.lit("KEEP_ANNOTATION")).unionByName(_evidence(up, F.lit("KEEP_ANNOTATED_MEMBER"))).unionByName(_evidence(down, F.lit("KEEP_ANNOTATED_CLASS_MEMBER"))).distinct()
 
 
-def supertypes(g: Graph, hierarchy: DataFrame | None = None) -> DataFrame:
-    """source, target: class ids and all their supertypes; ``hierarchy`` (name, supertypes) knows library classes."""
-    direct = g.nodes.select(F.col("id").alias("source"), F.explode("supertypes").alias("t")).select("source", F.concat(F.lit("class:"), "t").alias("target"))
+def direct_supertypes(g: Graph, hierarchy: DataFrame | None = None) -> DataFrame:
+    """source, target: class ids and what they extend; ``hierarchy`` (name, supertypes) knows library classes."""
+    types = g.nodes.select(F.col("id").alias("source"), F.explode("supertypes").alias("t"))
     if hierarchy is not None:
-        direct = direct.unionByName(hierarchy.select(F.concat(F.lit("class:"), "name").alias("source"), F.explode("supertypes").alias("t")).select("source", F.concat(F.lit("class:"), "t").alias("target")))
-    return closure(direct).select("source", "target", "depth")
+        types = types.unionByName(hierarchy.select(F.concat(F.lit("class:"), "name").alias("source"), F.explode("supertypes").alias("t")))
+    return types.select("source", F.concat(F.lit("class:"), "t").alias("target"))
+
+
+def supertypes(g: Graph, hierarchy: DataFrame | None = None) -> DataFrame:
+    """source, target, depth: class ids and all their supertypes."""
+    return closure(direct_supertypes(g, hierarchy)).select("source", "target", "depth")
+
+
+def below(g: Graph, types: tuple[str, ...], hierarchy: DataFrame | None = None) -> DataFrame:
+    """id of all that extends one of ``types`` (internal names), at any remove: a search down from these, which
+    looks at no other part of the hierarchy."""
+    down = direct_supertypes(g, hierarchy).select(F.col("target").alias("source"), F.col("source").alias("target"))
+    starts = g.nodes.sparkSession.createDataFrame([(f"class:{t}",) for t in types], "id string")
+    # a listed type that extends another one is below it, too
+    under = down.join(F.broadcast(starts.select(F.col("id").alias("source"))), "source", "left_semi").select(F.col("target").alias("id"))
+    return bfs(down, under).select("id")
 
 
 def android_entries(g: Graph, hierarchy: DataFrame | None = None) -> DataFrame:
     """Native methods with their owners, and workers."""
     native = g.nodes.filter(F.array_contains("modifiers", "NATIVE")).select("id", "path", "line")
     owners = native.join(all_owners(g, native.select("id")), "id").select(F.col("owner").alias("id"), "path", "line")
-    worker = supertypes(g, hierarchy).filter(F.col("target") == f"class:{WORKER}").select(F.col("source").alias("id"))
+    worker = below(g, (WORKER,), hierarchy)
     return _evidence(native.unionByName(owners).unionByName(g.nodes.join(worker, "id", "left_semi").select("id", "path", "line")), F.lit("RUNTIME_ENTRY_POINT")).distinct()
 
 
@@ -223,10 +238,12 @@ def member_glob(glob: str) -> str:
 DECLARATIONS = {"class": S.TYPE_KINDS, "interface": ("INTERFACE", "ANNOTATION_CLASS"), "enum": ("ENUM",), "@interface": ("ANNOTATION_CLASS",)}
 VISIBILITIES = ("public", "private", "protected")
 _RULES = (
-    "rule int, path string, line int, kinds array<string>, start string, name string, annotation string, extends string, visible array<string>, hidden array<string>, "
+    "rule int, path string, line int, kinds array<string>, package string, start string, name string, annotation string, extends string, visible array<string>, hidden array<string>, "
     "has array<string>, lacks array<string>, members_only boolean, conditions int, whole boolean, unresolved boolean"
 )
-_MEMBERS = "rule int, part int, member_kinds array<string>, member_name string, descriptor string, member_visible array<string>, member_hidden array<string>, member_has array<string>, member_lacks array<string>"
+_MEMBERS = "rule int, part int, member_kinds array<string>, member_name string, descriptor string, member_visible array<string>, member_hidden array<string>, member_has array<string>, member_lacks array<string>, member_annotation string"
+#: Up to so many rules, which come from the driver, are sent to every task.
+BROADCAST_RULES = 50_000
 
 
 def _access(words: dict[str, bool]) -> list[list[str]]:
@@ -243,11 +260,13 @@ def _rule_tables(spark, rules: list[dict]) -> tuple[DataFrame, DataFrame]:
         kinds = [k for k in S.TYPE_KINDS if k not in named] if kind.startswith("!") else list(named)
         glob = r.get("class_pattern", "*")
         start = re.split(r"[*?]", glob)[0].replace(".", "/")
-        pattern = lambda key: class_glob(r[key]) if r.get(key) else None  # noqa: E731, B023
+        pattern = lambda key, of=r: class_glob(of[key]) if of.get(key) else None
+        pattern_of = lambda m: pattern("annotation", m)  # noqa: E731, B023
         members = r.get("members", [])
-        heads.append((i, r["path"], r["line"], kinds, start, class_glob(glob), pattern("annotation"), pattern("extends"), *_access(r.get("access", {})), bool(r.get("members_only")), len(members) if r.get("conditional") else 0, bool(r.get("shrinking_disabled")), bool(r.get("unresolved"))))
+        package = "".join(x + "/" for x in start.split("/")[:-1][:2])  # what of the name is sure to be a package, two parts at most
+        heads.append((i, r["path"], r["line"], kinds, package, start, class_glob(glob), pattern("annotation"), pattern("extends"), *_access(r.get("access", {})), bool(r.get("members_only")), len(members) if r.get("conditional") else 0, bool(r.get("shrinking_disabled")), bool(r.get("unresolved"))))
         for k, m in enumerate(members):
-            parts.append((i, k, m.get("kind"), None if m["name"] == "*" else member_glob(m["name"]), m.get("descriptor"), *_access(m.get("access", {}))))
+            parts.append((i, k, m.get("kind"), None if m["name"] == "*" else member_glob(m["name"]), m.get("descriptor"), *_access(m.get("access", {})), pattern_of(m)))
     return spark.createDataFrame(heads, _RULES), spark.createDataFrame(parts, _MEMBERS)
 
 
@@ -268,8 +287,8 @@ def keep_rules(g: Graph, rules: list[dict], hierarchy: DataFrame | None = None,
     knows leaves open whether a class extends what a rule asks for, that is an error, which lists all such
     rules; if ``lenient``, such a rule is unknown to every node.
 
-    Rules are one small table: classes meet it once, by the fixed start of a rule's class name, and
-    members meet the rules of their class.
+    Rules are one table: classes meet those of their package (the first two parts of it that a rule's name
+    fixes, or fewer), and members meet the rules of their class.
     """
     spark = g.nodes.sparkSession
     if not rules:
@@ -277,11 +296,14 @@ def keep_rules(g: Graph, rules: list[dict], hierarchy: DataFrame | None = None,
     heads, parts = _rule_tables(spark, rules)
     seen_as = "jvm_visibility" if "jvm_visibility" in g.nodes.columns else "visibility"
     nodes = g.nodes.withColumn("visible_as", F.col(seen_as))
+    near = F.broadcast if len(rules) <= BROADCAST_RULES else lambda df: df
     types = nodes.filter(F.col("kind").isin(*S.TYPE_KINDS) & F.col("id").startswith("class:")).select("id", "kind", "visible_as", "modifiers", "annotations", F.expr("substr(id, 7)").alias("internal"))
+    packages = F.array(F.lit(""), *(F.when(F.size(F.split("internal", "/")) > k, F.concat(F.substring_index("internal", "/", k), F.lit("/"))) for k in (1, 2)))
+    types = types.withColumn("package", F.explode(F.array_compact(packages)))
     own = heads.filter("NOT whole AND NOT unresolved")
     fits = F.array_contains("kinds", F.col("kind")) & F.col("internal").startswith(F.col("start")) & F.expr("internal RLIKE name") & _allowed("visible", "hidden", "has", "lacks")
     fits = fits & (F.col("annotation").isNull() | F.exists("annotations", lambda a: F.rlike(a, F.col("annotation"))))
-    hit = types.join(F.broadcast(own), fits).select("rule", "path", "line", "id", "extends", "members_only", "conditions")
+    hit = types.join(near(own), "package").filter(fits).select("rule", "path", "line", "id", "extends", "members_only", "conditions")
     unknown = None
     if any(r.get("extends") for r in rules):
         hit = settled(hit)
@@ -294,10 +316,11 @@ def keep_rules(g: Graph, rules: list[dict], hierarchy: DataFrame | None = None,
             where = ", ".join(f"{r.path}:{r.line}" for r in unknown.orderBy("path", "line").collect())
             raise ValueError(f"supertypes are not known far enough for the rules at {where}")
         hit = hit.join(extending.withColumn("found", F.lit(True)), ["rule", "id"], "left").filter("extends IS NULL OR found").drop("found")
-    part = members(g).withColumnRenamed("source", "owner").join(nodes.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("name").alias("target_name"), "visible_as", "modifiers"), "target")
-    asked = hit.select("rule", F.col("id").alias("owner")).join(F.broadcast(parts), "rule")
+    part = members(g).withColumnRenamed("source", "owner").join(nodes.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"), F.col("name").alias("target_name"), "visible_as", "modifiers", F.col("annotations").alias("target_annotations")), "target")
+    asked = hit.select("rule", F.col("id").alias("owner")).join(near(parts), "rule")
     fits = (F.col("member_kinds").isNull() | F.array_contains("member_kinds", F.col("target_kind"))) & (F.col("member_name").isNull() | F.expr("target_name RLIKE member_name"))
     fits = fits & (F.col("descriptor").isNull() | F.col("target").endswith(F.col("descriptor"))) & _allowed("member_visible", "member_hidden", "member_has", "member_lacks")
+    fits = fits & (F.col("member_annotation").isNull() | F.exists(F.coalesce("target_annotations", F.array().cast("array<string>")), lambda a: F.rlike(a, F.col("member_annotation"))))
     named = settled(asked.join(part, "owner").filter(fits).select("rule", "owner", "part", "target"))
     met = named.groupBy("rule", F.col("owner").alias("id")).agg(F.count_distinct("part").alias("met"))
     hit = hit.join(met, ["rule", "id"], "left").filter(F.coalesce("met", F.lit(0)) >= F.col("conditions"))

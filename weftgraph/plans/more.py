@@ -8,6 +8,8 @@ from weftgraph import graph as G
 from weftgraph.operators import binding as B
 from weftgraph.operators import flows as X
 from weftgraph.operators import impact as I
+from weftgraph.operators import persistence as P
+from weftgraph.operators import universe as W
 from weftgraph.operators import values as VL
 from weftgraph.plans import star
 from weftgraph.plans.queries import query
@@ -153,3 +155,90 @@ def edge_runtime_values(spark, d):
 FROM calls LEFT JOIN state s USING (j) GROUP BY ALL""", plain=True)
 def runtime_value_counts(spark, d):
     return _runtime(spark, d)[1]
+
+
+# Whole sets: each customer is a source file of its region, each order a body in it, of a kind by priority.
+
+_BODIES = """SELECT o_orderkey, 'i' || c_nationkey AS inventory, n_regionkey, 'c' || o_custkey || '.kt' AS path,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'ORDINARY_METHOD' WHEN '2-HIGH' THEN 'LOCAL_METHOD' WHEN '3-MEDIUM' THEN 'ANONYMOUS_METHOD' WHEN '5-LOW' THEN 'ABSTRACT_METHOD' ELSE 'LAMBDA' END AS kind,
+  'method:customer/' || o_custkey || '#order' || o_orderkey || '()V' AS id, CAST(o_orderkey % 1000 AS INT) AS start
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey"""
+_KINDS = ("ORDINARY_METHOD", "LOCAL_METHOD", "ANONYMOUS_METHOD", "ABSTRACT_METHOD", "LAMBDA")
+
+
+@query(f"""WITH b AS ({star.filled(_BODIES)}), f AS (SELECT n_regionkey AS scope, kind, CASE WHEN kind = 'ABSTRACT_METHOD' THEN NULL WHEN kind = 'LAMBDA' THEN 'BODY_KIND'
+    WHEN n_regionkey = 2 AND o_orderkey % 97 = 0 THEN 'COVERAGE_MISSING' WHEN n_regionkey = 1 AND o_orderkey % 50 = 0 THEN 'COVERAGE_PARTIAL' END AS code FROM b WHERE n_regionkey = 1 OR (n_regionkey IN (0, 2) AND kind <> 'LAMBDA'))
+SELECT CAST(scope AS INT) AS scope, code, CASE code WHEN 'BODY_KIND' THEN kind END AS detail, count(*) AS n FROM f WHERE code IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 2, 'SOURCE_MISSING', NULL, 1
+UNION ALL SELECT scope, 'STATUS', CASE scope WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'INCOMPLETE' ELSE 'UNKNOWN' END, count(*) FROM f GROUP BY scope""", plain=True)
+def authored_universe(spark, d):
+    t = lambda name: star.table(spark, d, name)
+    b = spark.sql(_BODIES, **{x: t(x) for x in ("orders", "customer", "nation")})
+    abstract = F.col("kind") == "ABSTRACT_METHOD"
+    body = F.concat(F.lit("b"), "o_orderkey").alias("body")
+    files = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr("'i' || c_nationkey AS inventory", "'r' || n_regionkey AS module", "'c' || c_custkey || '.kt' AS path", "n_regionkey")
+    calling = b.filter(F.col("kind").isin(*_KINDS[:3]) & ~((F.col("n_regionkey") == 2) & (F.col("o_orderkey") % 97 == 0)))
+    facts = {
+        "inventories": t("nation").selectExpr("'i' || n_nationkey AS inventory", "'r' || n_regionkey AS module", "false AS projected", "'s' || n_nationkey AS stamp"),
+        "sources": files.select("inventory", "path"),
+        "bodies": b.select("inventory", body, "path", "kind", F.array("id").alias("methods"), (~abstract).alias("present"), F.lit(True).alias("written"), "start", (F.col("start") + 5).alias("end")),
+        "methods": b.select("inventory", "id", body, (~abstract).alias("code"), abstract.alias("abstract"), F.lit(True).alias("origin_known")),
+        "outputs": files.select("inventory", F.lit(None).cast("string").alias("owner")),
+        "coverage": calling.select(F.col("id").alias("method"), "path", "start", (F.col("start") + 5).alias("end"), F.expr("'s' || substr(inventory, 2)").alias("stamp"), ((F.col("n_regionkey") != 1) | (F.col("o_orderkey") % 50 != 0)).alias("whole")),
+    }
+    out = None
+    for region, kinds in ((0, _KINDS[:4]), (1, _KINDS), (2, _KINDS[:4])):
+        scope = files.filter(F.col("n_regionkey") == region).select("module", "path")
+        if region == 2:
+            scope = scope.union(spark.createDataFrame([("r2", "gone.kt")], "module string, path string"))
+        u = W.authored_universe(star.graph(spark, d), scope, kinds, facts)
+        rows = u.faults.unionByName(u.state.select(F.lit("STATUS").alias("code"), F.col("status").alias("detail"), F.col("bodies").alias("n"))).select(F.lit(region).alias("scope"), "code", "detail", "n")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_PAGE = "'app/res/layout/p' || {0} || '.xml'"
+_ASKED = f"SELECT {_PAGE.format('p_partkey')} AS path FROM {{part}} WHERE p_size = 7 UNION SELECT 'app/res/layout/gone' || p_size || '.xml' FROM {{part}} WHERE p_size < 3 UNION SELECT 'lib/res/layout/p1.xml' FROM {{part}} WHERE p_partkey = 1"
+#: A part's layout includes that of the part at half its key, every other one by a literal.
+_INCLUDES = "SELECT 'x' || p_partkey AS include, 'l' || p_partkey AS source, 'l' || CAST(floor(p_partkey / 2) AS BIGINT) AS target, p_partkey % 4 <> 3 AS literal FROM {part} WHERE p_partkey > 1"
+
+
+@query(f"""WITH RECURSIVE asked AS ({star.filled(_ASKED)}), inc AS ({star.filled(_INCLUDES)}),
+found AS (SELECT 'l' || p_partkey AS key, 0 AS depth FROM part WHERE p_size = 7 UNION SELECT i.source, f.depth + 1 FROM found f JOIN inc i ON i.target = f.key AND i.literal)
+SELECT 'field' AS what, f.key AS name, CASE WHEN CAST(substr(f.key, 2) AS BIGINT) % 9 <> 0 THEN 'R.' || f.key END AS value, CAST(min(depth) AS INT) AS depth FROM found f GROUP BY f.key
+UNION ALL SELECT 'file', path, CASE WHEN path LIKE 'lib/%' THEN 'OUTSIDE_ROOT' WHEN path LIKE '%/gone%' THEN 'ABSENT' ELSE 'MATCHED' END, NULL FROM asked
+UNION ALL SELECT 'include', include, NULL, NULL FROM inc WHERE literal AND target IN (SELECT key FROM found)""", plain=True)
+def resource_impact(spark, d):
+    part = star.table(spark, d, "part")
+    definitions = part.selectExpr(f"{_PAGE.format('p_partkey')} AS path", "'l' || p_partkey AS key")
+    fields = part.selectExpr("'l' || p_partkey AS key", "CASE WHEN p_partkey % 9 <> 0 THEN 'R.l' || p_partkey END AS field")
+    whole = (1 << 31,) * 4
+    r = W.resource_impact(spark.sql(_ASKED, part=part), definitions, spark.sql(_INCLUDES, part=part), ["app/res"], fields, whole)
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    out = r.resources.select(F.lit("field").alias("what"), F.col("key").alias("name"), F.col("field").alias("value"), "depth")
+    out = out.unionByName(r.files.select(F.lit("file").alias("what"), F.col("path").alias("name"), F.col("status").alias("value"), none("depth", "int")))
+    return out.unionByName(r.includes.select(F.lit("include").alias("what"), F.col("include").alias("name"), none("value", "string"), none("depth", "int")))
+
+
+# Persistence: nations are repositories below regions; orders call two of their methods, one of which a region has.
+
+_CALLER = "'method:customer/' || o_custkey || '#order' || o_orderkey || '()V'"
+_CALLS = f"""SELECT {_CALLER} AS caller, 'nation/' || c_nationkey AS owner, CASE WHEN l_linenumber % 2 = 0 THEN 'find' ELSE 'count' END AS name, '()V' AS descriptor, 'INTERFACE' AS kind, CAST(NULL AS STRING) AS path,
+  CASE WHEN l_linenumber <> 6 THEN CAST(l_linenumber AS INT) END AS line, CAST(l_linenumber AS INT) AS ordinal, 'UNRESOLVED' AS resolution, CAST(NULL AS STRING) AS model FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{customer}} ON o_custkey = c_custkey"""
+_SITES = f"""SELECT {_CALLER} AS caller, CAST(2 + 2 * (o_orderkey % 3) AS INT) AS line, 'rel' || (o_orderkey % 2) AS relation FROM {{orders}}
+UNION ALL SELECT {_CALLER}, CAST(o_orderkey % 1000 + 1 AS INT), 'rel1' FROM {{orders}} WHERE o_orderkey % 3 = 0"""
+
+
+@query(f"""WITH calls AS ({star.filled(_CALLS)}), sites AS ({star.filled(_SITES)})
+SELECT DISTINCT c.caller, c.owner, c.name, c.ordinal FROM calls c JOIN nation ON c.owner = 'nation/' || n_nationkey
+JOIN (SELECT {_CALLER} AS caller, CAST(o_orderkey % 1000 + 1 AS INT) AS at FROM orders) o ON o.caller = c.caller JOIN sites s ON s.caller = c.caller AND s.line = coalesce(c.line, o.at) AND s.relation = 'rel1'
+WHERE n_regionkey = 2 AND c.name = 'find'""", plain=True)
+def persistence_modeled(spark, d):
+    t = lambda name: star.table(spark, d, name)
+    n = star.nodes(spark, d).filter("id LIKE 'class:nation/%' OR id LIKE 'class:region/%' OR id LIKE 'method:%'").withColumn("kind", F.when(F.col("id").startswith("class:"), "INTERFACE").otherwise(F.col("kind")))
+    count = n.filter("id = 'class:region/2'").withColumns({"id": F.lit("method:region/2#count()V"), "name": F.lit("count"), "kind": F.lit("METHOD")})
+    calls = spark.sql(_CALLS, **{x: t(x) for x in ("lineitem", "orders", "customer")}).withColumn("resolved_targets", F.array().cast("array<string>"))
+    g = G.Graph(n.unionByName(count), star.graph(spark, d).edges.limit(0), {"external_calls": calls})
+    declarations = n.filter("id LIKE 'class:nation/%'").select("path", F.lit("rel1").alias("relation"))
+    found = P.persistence_modeled(g, spark.sql(_SITES, orders=t("orders")), declarations, ("region/2",), ())
+    return found.select("caller", "owner", "name", "ordinal")

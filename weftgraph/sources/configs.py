@@ -105,10 +105,15 @@ def _descriptor(kind: str) -> str | None:
 
 def _member(text: str) -> dict:
     access: dict[str, bool] = {}
-    while m := re.match(r"(!?)(public|private|protected|static|final|abstract|native|synchronized|transient|volatile)\s+", text):
-        access[m[2]] = not m[1]
+    more: dict = {}
+    while m := re.match(r"@([\w.$*?]+)\s+|(!?)(public|private|protected|static|final|abstract|native|synchronized|transient|volatile)\s+", text):
+        if m[1]:
+            more["annotation"] = m[1]
+        else:
+            access[m[3]] = not m[2]
         text = text[m.end() :]
-    more = {"access": access} if access else {}
+    if access:
+        more["access"] = access
     if text == "*":
         return {"name": "*", **more}
     if text in ("<methods>", "<fields>"):

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators.review import worded
+
 #: Roots that a traversal's row lists.
 ROOTS = 64
 
@@ -23,11 +25,11 @@ def records(name: str, version: int, **parts: DataFrame) -> DataFrame:
 def traversal(rows: DataFrame, limitations: DataFrame) -> DataFrame:
     """Reached nodes with their first ``ROOTS`` roots, and how many more there are."""
     cut = rows.withColumn("roots_omitted", F.greatest(F.lit(0), F.size("roots") - ROOTS)).withColumn("roots", F.slice("roots", 1, ROOTS))
-    return records("language-traversal", 1, limitation=limitations.select("limitation"), node=cut)
+    return records("language-traversal", 1, limitation=worded(limitations), node=cut)
 
 
 def impact(seeds: DataFrame, summary: DataFrame, items: DataFrame, limitations: DataFrame) -> DataFrame:
-    return records("change-impact", 1, seed=seeds, summary=summary, candidate=items, limitation=limitations.select("limitation"))
+    return records("change-impact", 1, seed=seeds, summary=summary, candidate=items, limitation=worded(limitations))
 
 
 def enum_impact(candidates: DataFrame, reasons: DataFrame) -> DataFrame:
