@@ -241,4 +241,4 @@ def persistence_modeled(spark, d):
     g = G.Graph(n.unionByName(count), star.graph(spark, d).edges.limit(0), {"external_calls": calls})
     declarations = n.filter("id LIKE 'class:nation/%'").select("path", F.lit("rel1").alias("relation"))
     found = P.persistence_modeled(g, spark.sql(_SITES, orders=t("orders")), declarations, ("region/2",), ())
-    return found.select("caller", "owner", "name", "ordinal")
+    return found.select("caller", "owner", "name", "ordinal").distinct()
