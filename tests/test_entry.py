@@ -20,6 +20,12 @@ def test_imports_without_the_training_data_operators():
     assert out.returncode == 0, out.stderr
 
 
+def test_imports_without_a_package_that_only_they_need():
+    code = "import sys; sys.modules['regex'] = None; import __spark_entry__ as e; assert 'martin_metrics' in e.queries() and 'op8_bpe' not in e.queries()"
+    out = run(code)
+    assert out.returncode == 0, out.stderr
+
+
 def test_nothing_else_imports_them():
     for p in (ROOT / "weftgraph").rglob("*.py"):
         if "llm" not in p.parts:
