@@ -278,7 +278,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, span: i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of ``benchmark`` occurs, word for word."""
+    """The rows of ``docs`` in which no window of ``benchmark`` occurs, word for word.
+
+    Null and empty texts have no words and stay, null ids as well; rows that repeat stay or go together.  Items
+    without words have no window, and an empty benchmark lets all rows stay.
+    """
     bad = written(_found(docs, benchmark, size, size, BLOCK, TERMS).filter(F.size("hits") > 0).select("dkey", "tkey").distinct())
     d, t = key_columns()[:2]
     rows = docs.select(F.struct("*").alias("row"), d, t)
