@@ -143,7 +143,7 @@ def _runtime(spark, d):
     opaque = customer.selectExpr("floor(c_custkey / 10) AS j").filter("j % 11 = 0").distinct().selectExpr("'j' || j AS var")
     values = VL.propagate(spark.sql(_GROUPS, customer=customer), opaque, spark.sql(_ASSIGNED, customer=customer), operations)
     calls = t("orders").selectExpr("'method:order/' || o_orderkey || '#load()V' AS caller", "0 AS ordinal", "'CLASS_LOADING' AS operation", "'j' || floor(o_custkey / 10) AS var", "CAST(NULL AS INT) AS arity")
-    return VL.runtime_values(star.graph(spark, d), values, calls, spark.createDataFrame([], "service string, provider string"))
+    return VL.runtime_values(star.vertices(spark, d), values, calls, spark.createDataFrame([], "service string, provider string"))
 
 
 @query(VALUES + "SELECT caller AS source, target, 'REFERENCE' AS kind, 'RUNTIME_MODEL' AS origin, CAST(1 AS BIGINT) AS weight FROM hits", plain=True)
