@@ -22,14 +22,16 @@ def symbol_status(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("n")).select(F.when(F.col("n") == 0, "notFound").when(F.col("n") == 1, "found").otherwise("ambiguous").alias("status"), "n")
 
 
-def neighbors(g: Graph, subject: str, depth: int = 1, limit: int = 50, incoming: bool = True) -> DataFrame:
+def neighbors(g: Graph, subject: str, depth: int = 1, limit: int | None = 50, incoming: bool = True) -> DataFrame:
     """id, depth, rank, kinds (of the edges to the vertex that found it), truncated: the first ``limit`` of
-    the breadth-first order; one more is looked for, to tell whether there are more."""
+    the breadth-first order; one more is looked for, to tell whether there are more.  Without a limit, all."""
     e = g.edges.filter(S.is_usage(F.col("kind")))
     way = e.select(F.col("target").alias("source"), F.col("source").alias("target")) if incoming else e.select("source", "target")
     seed = g.nodes.sparkSession.createDataFrame([(subject, 0)], "id string, ord int")
-    found = ranked_bfs(way, seed, max_depth=depth, visit_limit=limit + 2).filter("depth > 0")
+    found = ranked_bfs(way, seed, max_depth=depth, visit_limit=None if limit is None else limit + 2).filter("depth > 0")
     kinds = e.select(F.col("source" if incoming else "target").alias("id"), F.col("target" if incoming else "source").alias("pred"), "kind").groupBy("id", "pred").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    if limit is None:
+        return found.join(kinds, ["id", "pred"]).select("id", "depth", (F.col("rank") - 1).alias("rank"), "kinds", F.lit(False).alias("truncated"))
     more = found.agg((F.count("*") > limit).alias("truncated"))
     return found.filter(F.col("rank") <= limit + 1).join(kinds, ["id", "pred"]).crossJoin(F.broadcast(more)).select("id", "depth", (F.col("rank") - 1).alias("rank"), "kinds", "truncated")
 
