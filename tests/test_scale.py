@@ -127,3 +127,32 @@ def test_test_only_takes_the_graph_as_it_is(spark, monkeypatch):
     star.graph(spark, SMALL)
     monkeypatch.setattr(G, "canonical", _refuse)
     assert QUERIES["test_only"](spark, SMALL).count()
+
+
+def test_callbacks_go_back_along_their_own_links(spark, monkeypatch):
+    """With one target of all callers, rows that a step back meets grow with the callers, not with their square."""
+    from pyspark.sql import functions as F
+
+    from weftgraph.operators import flows as X
+
+    n, found, real = 60, [], X._fixed_point
+
+    def watched(front, step, keys, rounds=None):
+        if rounds is None and len(keys) > 4:
+            found.extend(x for x in (step(front, 1)._jdf.queryExecution().optimizedPlan().toString(),))
+        return real(front, step, keys, rounds)
+
+    monkeypatch.setattr(X, "_fixed_point", watched)
+    ids = ["hub", *(f"c{i}" for i in range(n))]
+    take = lambda x: f"method:{x}#take(F)V"
+    nodes = [node(take(x), kind="METHOD") for x in ids] + [node(f"method:o{i}#run()V", kind="METHOD") for i in range(n)]
+    g = G.Graph(spark.createDataFrame(nodes, S.NODES), spark.createDataFrame([], S.EDGES))
+    uses = [(take(x), 0, "DECLARED", None, None, None) for x in ids] + [(take(f"c{i}"), 0, "ARGUMENT", take("hub"), "STATIC", 0) for i in range(n)]
+    uses.append((take("hub"), 0, "RECEIVER", "method:java/lang/Runnable#run()V", "INTERFACE", None))
+    arguments = [(f"method:o{i}#make()V", f"method:o{i}#run()V", take(f"c{i}"), "STATIC", 0, "run()V") for i in range(n)]
+    edges, flows = X.callback_flows(g, spark.createDataFrame(arguments, X.ARGUMENTS), spark.createDataFrame(uses, X.USES), spark.createDataFrame([], X.ESCAPES))
+    assert edges.count() == 2 * n and flows.filter(F.col("outcome") == "bound").count() == n
+    # the join back is by the start, too
+    (plan,) = found
+    join = next(x for x in plan.splitlines() if "Join Inner" in x)
+    assert "s_method" in join and "s_parameter" in join

@@ -170,13 +170,14 @@ def callback_flows(g: Graph, arguments: DataFrame, uses: DataFrame, escapes: Dat
     without = _fixed_point(first.select(*at), lambda front, _: moved(front.join(plain, [*PAIR])).distinct().join(inside, at, "left_semi"), at)
     added = sites.join(without, at, "left_anti").select(*of).distinct()
 
-    back = p.links.select(F.col("method").alias("from_method"), F.col("parameter").alias("from_parameter"), F.col("to_method").alias("method"), F.col("to_parameter").alias("parameter")).distinct()
-    keys = ["lambda", "s_method", "s_parameter", "method", "parameter", "body"]
-    up = lambda front, _: front.join(back, [*PAIR]).select("lambda", *start, F.col("from_method").alias("method"), F.col("from_parameter").alias("parameter"), "body").distinct().join(inside, at, "left_semi")
-    # with its signature, a lambda that is given both with and without one is two
-    tagged = sites.withColumn("lambda", F.struct("lambda", "sam"))
-    leads = _fixed_point(tagged.select(*keys).distinct(), up, keys).withColumns({"sam": F.col("lambda.sam"), "lambda": F.col("lambda.lambda")})
-    pairs = settled(leads.filter("method <> body").select(*of, F.col("method").alias("source"), F.col("body").alias("target")).distinct())
+    # back to where a value came from, along the links of its own start: a parameter can have those of all
+    # callers.  The ways to a site are the same for all lambdas given to one parameter
+    back = settled(onward(inside).select(*start, F.col("method").alias("from_method"), F.col("parameter").alias("from_parameter"), F.col("to_method").alias("method"), F.col("to_parameter").alias("parameter")).distinct())
+    site = [*start, "x_method", "x_parameter"]
+    up = lambda front, _: front.join(back, at).select(*site, F.col("from_method").alias("method"), F.col("from_parameter").alias("parameter")).distinct()
+    placed = sites.withColumnsRenamed({"method": "x_method", "parameter": "x_parameter"})
+    leads = _fixed_point(placed.select(*site, F.col("x_method").alias("method"), F.col("x_parameter").alias("parameter")).distinct(), up, [*site, *PAIR])
+    pairs = settled(placed.join(leads, site).filter("method <> body").select(*of, F.col("method").alias("source"), F.col("body").alias("target")).distinct())
 
     own = kinds.join(away, start).select(*of, "reason").unionByName(called.filter("body IS NULL AND NOT coalesce(functional, false) AND NOT coalesce(harmless, false) AND functional IS NOT NULL").select(*of, F.lit("receiver").alias("reason"))).unionByName(added.withColumn("reason", F.lit("closure")))
     reasons = own.groupBy(*of).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))

@@ -71,7 +71,7 @@ def _flows(spark, d):
     arguments = orders.selectExpr("caller", "lambda", "callee", "'STATIC' AS invocation", "0 AS argument", "'run()V' AS sam")
     methods = orders.select(F.explode(F.array("caller", "lambda")).alias("id")).union(t("customer").selectExpr(CUSTOMER)).union(t("nation").selectExpr(NATION)).union(t("region").selectExpr(REGION))
     full = methods.select("id", F.lit("take").alias("name"), F.lit("METHOD").alias("kind"), F.lit("PUBLIC").alias("visibility"), *(F.array().cast("array<string>").alias(c) for c in ("modifiers", "supertypes")))
-    g = G.Graph(full, star.graph(spark, d).edges.limit(0))
+    g = G.Graph(full, star.frame(spark, d, "raw_edges").limit(0))  # no edges: only their columns are asked for
     return X.callback_flows(g, arguments, uses, orders.filter("o_orderkey % 17 = 0").select("caller", "lambda"))
 
 
