@@ -156,3 +156,19 @@ def test_callbacks_go_back_along_their_own_links(spark, monkeypatch):
     (plan,) = found
     join = next(x for x in plan.splitlines() if "Join Inner" in x)
     assert "s_method" in join and "s_parameter" in join
+
+
+def test_searches_leave_no_edges_behind(make, monkeypatch):  # noqa: F811
+    from weftgraph import iterate as It
+
+    g, made = _mixed(make), []
+    spark = g.nodes.sparkSession
+    for at in (It, T):
+        monkeypatch.setattr(at, "settled", lambda df, real=It.settled: made.append(real(df)) or made[-1])
+    seeds = spark.createDataFrame([("class:part/5", 0)], "id string, ord int")
+    for search in (It.bfs, It.ranked_bfs, T.pairs):
+        made.clear()
+        assert search(g.edges, seeds).count()
+        assert made[0].columns == ["source", "target"]
+        (folder,) = {x.rsplit("/", 1)[0].removeprefix("file://") for x in made[0].inputFiles()}
+        assert not __import__("os").path.exists(folder)
